@@ -24,8 +24,10 @@ from .common import text_batches
 
 #: Fixed pattern of the vocabulary's pre-tokenizer; white space is Unicode's property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words kept between batches of a task; all are dropped beyond that.
-CACHED_WORDS = 150_000
+#: Words and chunks kept between batches, twice over: see Encoder.batch.
+CACHED_WORDS = 200_000
+#: A mark that is a piece of its own after a word.
+MARKS = tuple(".,;:!?)")
 #: Longer words are encoded each time.
 CACHED_BYTES = 48
 
@@ -124,6 +126,9 @@ class Encoder:
         self.ids_of: dict[str, tuple[int, ...]] = {}
         self.digits: dict[str, str] = {}
         self.apart: dict[int, bool] = {}
+        self.size = {i: len(b) for b, i in vocabulary.usable.items()}
+        self.older: tuple[dict, dict] = ({}, {})
+        self.older_words: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, text: str) -> list[str]:
         if self.special is None or not any(s in text for s in self.v.special):
@@ -154,8 +159,7 @@ class Encoder:
                 new.append((w.encode(), w))
         new.sort()
         usable, longest, apart = self.v.usable.get, self.v.longest, self.apart
-        size = {i: len(b) for b, i in self.v.usable.items()} if not hasattr(self, "size") else self.size
-        self.size = size
+        size = self.size
         before, state = b"", [-1]
         for raw, w in new:
             shared, most = 0, min(len(before), len(raw))
@@ -186,23 +190,43 @@ class Encoder:
             self.known[w] = tuple(reversed(out))
 
     def batch(self, texts: list[str | None]) -> Iterator[list[str]]:
-        """The chunks of each text, all of them known until the next call."""
-        for full, most in ((self.known, CACHED_WORDS), (self.ids_of, CACHED_WORDS), (self.apart, 500_000)):
-            if len(full) > most:
-                full.clear()
-        if not self.ids_of:
-            self.digits.clear()
+        """The chunks of each text, all of them known until the next call.
+
+        What is full becomes the older generation; what is used again moves back from it."""
+        if len(self.ids_of) > CACHED_WORDS:
+            self.older, self.ids_of, self.digits = (self.ids_of, self.digits), {}, {}
+        if len(self.known) > CACHED_WORDS:
+            self.older_words, self.known = self.known, {}
+        if len(self.apart) > 500_000:
+            self.apart.clear()
         split = [self.chunks(t) if t else [] for t in texts]
-        new = {c: self.pieces(c) for c in {c for s in split for c in s if c not in self.ids_of}}
-        self.learn({w for p in new.values() for w in p if w not in self.known})
-        for c, p in new.items():
-            ids = self.ids_of[c] = tuple(i for w in p for i in self.known[w])
+        new = {c for s in split for c in s if c not in self.ids_of}
+        old_ids, old_digits = self.older
+        for c in new & old_ids.keys():
+            self.ids_of[c], self.digits[c] = old_ids[c], old_digits[c]
+        cut = {c: self.cut(c) for c in new if c not in self.ids_of}
+        words = {w for p in cut.values() for w in p if w not in self.known}
+        for w in words & self.older_words.keys():
+            self.known[w] = self.older_words[w]
+        self.learn(w for w in words if w not in self.known)
+        known = self.known
+        for c, p in cut.items():
+            ids = self.ids_of[c] = known[p[0]] if len(p) == 1 else tuple(i for w in p for i in known[w])
             self.digits[c] = ",".join(map(str, ids))
         yield from split
-        for c in [c for c in new if len(c) > CACHED_BYTES]:
+        for c in [c for c in cut if len(c) > CACHED_BYTES]:
             del self.ids_of[c], self.digits[c]
-        for w in [w for w in self.known if len(w) > CACHED_BYTES]:
-            del self.known[w]
+        for w in [w for w in words if len(w) > CACHED_BYTES]:
+            self.known.pop(w, None)
+
+    def cut(self, chunk: str) -> list[str]:
+        """The pieces of a chunk; a word, or a word and one mark, needs no search."""
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if word.isalpha():
+            return [chunk]
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.pieces(chunk)
 
     def ids(self, chunks: list[str]) -> list[int]:
         return [i for c in chunks for i in self.ids_of[c]]
