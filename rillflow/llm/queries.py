@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii
+from . import bpe, mixing, pii
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +16,16 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.takes(documents(spark, sf_dir))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op6_bpe)}
+    return {f.__name__: f for f in (op1_pii, op3_mixing, op6_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
