@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Used only where the session names no shared folder (tests, local runs).
 LOCAL_SHARED = "/tmp/checkpoints/rillflow"
@@ -35,3 +37,21 @@ def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def running_sum(rows: DataFrame, group: list[str], bucket: list[str], inside: list[str], value: str, name: str) -> DataFrame:
+    """rows with ``name``: the sum of ``value`` over the rows before this one in its group.
+
+    The order is by ``bucket``, then ``inside``. It takes two levels, so that no task holds a group:
+    sums per bucket, then a window over each bucket. ``rows`` is read twice and must be stored."""
+    keys = [*group, *bucket]
+    sums = rows.groupBy(*keys).agg(F.sum(value).alias("__sum"))
+    before = sums.select(*keys, (F.sum("__sum").over(Window.partitionBy(*group).orderBy(*bucket)) - F.col("__sum")).alias("__before"))
+    here = rows.withColumn("__inside", F.sum(value).over(Window.partitionBy(*keys).orderBy(*inside)) - F.col(value))
+    return here.join(before, keys).withColumn(name, F.col("__before") + F.col("__inside")).drop("__before", "__inside")
+
+
+def hash_bits(hashed: str, groups: int, rows: int, most: int) -> Column:
+    """The leading bits of a hash, as many as keep buckets near ``most`` rows."""
+    bits = max(0, (rows // (groups * most)).bit_length())
+    return (F.shiftrightunsigned(hashed, 64 - bits) if bits else F.lit(0)).cast("long")

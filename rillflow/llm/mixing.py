@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, text_batches
+from .common import hash_bits, running_sum, stored, text_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -101,18 +101,13 @@ def pieces(rows: DataFrame, sources: Sources, n_rows: int) -> DataFrame:
     """__row, src, block, from, words: the part of each block that each document fills; a row with no words has no block.
 
     Offsets come from a scan in two levels: sums of buckets of about BUCKET rows, then within a bucket."""
-    bits = max(0, (n_rows // BUCKET).bit_length())
     src = F.lit(0)
     for i, name in enumerate(sources.names[1:], 1):
         src = src + F.when(F.col("source").isNull() if name is None else F.col("source") >= name, 1).otherwise(0) if name is not None else src
     if None in sources.names:
         src = F.when(F.col("source").isNull(), len(sources.names) - 1).otherwise(src)
-    rows = rows.select("__row", "doc_id", "source", F.col("__size").alias("size"), src.alias("src"), "__order", (F.shiftrightunsigned("__order", 64 - bits) if bits else F.lit(0)).cast("long").alias("bucket"))
-    sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
-    before = sums.select("src", "bucket", (F.sum("n").over(Window.partitionBy("src").orderBy("bucket")) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("src", "bucket").orderBy("__order", "__row")
-    at = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(before, ["src", "bucket"])
-    at = at.withColumn("start", F.col("before") + F.col("inside"))
+    rows = rows.select("__row", "doc_id", "source", F.col("__size").alias("size"), src.alias("src"), "__order", hash_bits("__order", 1, n_rows, BUCKET).alias("bucket"))
+    at = running_sum(rows, ["src"], ["bucket"], ["__order", "__row"], "size", "start")
     blocks = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}")))
     cut = at.select("__row", "doc_id", "source", "size", "src", "start", F.explode_outer(blocks).alias("block"))
     first = F.greatest(F.col("start"), F.col("block") * BLOCK)

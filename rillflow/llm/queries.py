@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, simhash
+from . import bpe, mixing, pii, sharding, simhash
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +24,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op3_mixing, op6_bpe, op9_simhash)}
+    return {f.__name__: f for f in (op1_pii, op3_mixing, op6_bpe, op8_sharding, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
