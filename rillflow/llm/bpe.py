@@ -12,6 +12,7 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
@@ -25,7 +26,7 @@ from .common import text_batches
 #: Fixed pattern of the vocabulary's pre-tokenizer; white space is Unicode's property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words and chunks kept between batches, twice over: see Encoder.batch.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 #: A mark that is a piece of its own after a word.
 MARKS = tuple(".,;:!?)")
 #: Longer words are encoded each time.
@@ -64,10 +65,21 @@ class Vocabulary:
             self.parts.setdefault(whole, (r, a, b))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
-        self.longest = max(map(len, self.id_of))
         self._sound: dict[int, bool] = {}
         self._edges: dict[tuple[int, bool], list[tuple[int, float]]] = {}
         self.usable = {b: i for b, i in self.id_of.items() if self.sound(i)}
+        #: The usable tokens by their bytes: step[node * 256 + byte] is the node below, token[node] ends there or is -1.
+        self.step: dict[int, int] = {}
+        self.token = [-1]
+        for b, i in self.usable.items():
+            node = 0
+            for x in b:
+                below = self.step.get(node << 8 | x)
+                if below is None:
+                    below = self.step[node << 8 | x] = len(self.token)
+                    self.token.append(-1)
+                node = below
+            self.token[node] = i
 
     def merge_by_rank(self, word: bytes) -> list[int]:
         """Plain BPE: merge the pair of lowest rank, leftmost first, until none is left."""
@@ -158,30 +170,35 @@ class Encoder:
             else:
                 new.append((w.encode(), w))
         new.sort()
-        usable, longest, apart = self.v.usable.get, self.v.longest, self.apart
-        size = self.size
-        before, state = b"", [-1]
+        step, token, size, apart, crossed = self.v.step.get, self.v.token, self.size, self.apart, self.v.crossed
+        # partial[d]: (start, node) of each token that the bytes from start to d begin
+        before, state, partial = b"", [-1], [[]]
         for raw, w in new:
             shared, most = 0, min(len(before), len(raw))
             while shared < most and before[shared] == raw[shared]:
                 shared += 1
-            del state[shared + 1 :]
-            for depth in range(shared + 1, len(raw) + 1):
-                for start in range(max(0, depth - longest), depth):
-                    t = usable(raw[start:depth])
-                    if t is None:
+            del state[shared + 1 :], partial[shared + 1 :]
+            for depth in range(shared, len(raw)):
+                b, last, begun = raw[depth], -1, []
+                for start, node in [*partial[depth], (depth, 0)]:
+                    node = step(node << 8 | b)
+                    if node is None:
                         continue
-                    if start == 0:
-                        break
-                    pair = state[start] << 32 | t
-                    ok = apart.get(pair)
-                    if ok is None:
-                        ok = apart[pair] = not self.v.crossed(state[start], t)
-                    if ok:
-                        break
-                else:
-                    raise ValueError(f"no token ends the prefix {raw[:depth]!r}")
-                state.append(t)
+                    begun.append((start, node))
+                    if last < 0 <= (t := token[node]):
+                        if start == 0:
+                            last = t
+                        else:
+                            pair = state[start] << 32 | t
+                            ok = apart.get(pair)
+                            if ok is None:
+                                ok = apart[pair] = not crossed(state[start], t)
+                            if ok:
+                                last = t
+                if last < 0:
+                    raise ValueError(f"no token ends the prefix {raw[: depth + 1]!r}")
+                state.append(last)
+                partial.append(begun)
             before = raw
             out, i = [], len(raw)
             while i:
@@ -200,18 +217,21 @@ class Encoder:
         if len(self.apart) > 500_000:
             self.apart.clear()
         split = [self.chunks(t) if t else [] for t in texts]
-        new = {c for s in split for c in s if c not in self.ids_of}
+        new = set().union(*split) - self.ids_of.keys()
         old_ids, old_digits = self.older
         for c in new & old_ids.keys():
             self.ids_of[c], self.digits[c] = old_ids[c], old_digits[c]
         cut = {c: self.cut(c) for c in new if c not in self.ids_of}
-        words = {w for p in cut.values() for w in p if w not in self.known}
+        words = set().union(*cut.values()) - self.known.keys()
         for w in words & self.older_words.keys():
             self.known[w] = self.older_words[w]
         self.learn(w for w in words if w not in self.known)
         known = self.known
         for c, p in cut.items():
-            ids = self.ids_of[c] = known[p[0]] if len(p) == 1 else tuple(i for w in p for i in known[w])
+            ids = known[p[0]] if p else ()
+            for w in p[1:]:
+                ids += known[w]
+            self.ids_of[c] = ids
             self.digits[c] = ",".join(map(str, ids))
         yield from split
         for c in [c for c in cut if len(c) > CACHED_BYTES]:
@@ -259,12 +279,16 @@ def _over_texts(docs: DataFrame, path: str | None, schema: str, make):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary.value)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            known = e.batch(texts)
-            split = [next(known) for _ in texts]
-            yield make(e, b.column(0), split)
-            next(known, None)
+        gc.disable()  # nothing here is cyclic, and collections would walk all learnt words again and again
+        try:
+            for b in batches:
+                texts = b.column(1).to_pylist()
+                known = e.batch(texts)
+                split = [next(known) for _ in texts]
+                yield make(e, b.column(0), split)
+                next(known, None)
+        finally:
+            gc.enable()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -297,8 +321,10 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def make(e: Encoder, doc_ids: pa.Array, split: list[list[str]]) -> pa.RecordBatch:
         n, of_ids, of_text = [], [], []
-        bytes_of = {c: b"".join(map(e.v.bytes_of.__getitem__, e.ids_of[c])) for c in {c for s in split for c in s}}
-        count = {c: len(e.ids_of[c]) for c in bytes_of}
+        ids_of, token = e.ids_of, e.v.bytes_of.__getitem__
+        met = set().union(*split)
+        bytes_of = {c: b"".join(map(token, ids_of[c])) for c in met}
+        count = {c: len(ids_of[c]) for c in met}
         for s in split:
             n.append(sum(map(count.__getitem__, s)))
             of_ids.append(hashlib.sha256(",".join(map(e.digits.__getitem__, s)).encode()).hexdigest())
