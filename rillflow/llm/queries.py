@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flac, mixing, pii, sharding, simhash
+from . import bpe, flac, licenses, mixing, pii, sharding, simhash
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(documents(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(documents(spark, sf_dir))
 
@@ -37,7 +41,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op3_mixing, op5_flac, op6_bpe, op8_sharding, op9_simhash)}
+    return {f.__name__: f for f in (op1_pii, op3_mixing, op5_flac, op6_bpe, op7_licenses, op8_sharding, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
