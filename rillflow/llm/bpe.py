@@ -258,16 +258,19 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(vocabulary: str) -> Encoder:
-    """One encoder for each worker process and vocabulary."""
-    key = hashlib.sha256(vocabulary.encode()).hexdigest()
+def encoder(vocabulary: str, special: bool = True) -> Encoder:
+    """One encoder for each worker process and vocabulary; special: whether special tokens in a text are encoded as such."""
+    key = f"{special} {hashlib.sha256(vocabulary.encode()).hexdigest()}"
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(Vocabulary(vocabulary))
+        made = Vocabulary(vocabulary)
+        if not special:
+            made.special = {}
+        _encoders[key] = Encoder(made)
     return _encoders[key]
 
 
-def _shared(docs: DataFrame, path: str | None):
+def shared_vocabulary(docs: DataFrame, path: str | None):
     """The vocabulary file's text, a megabyte or two, sent once to each executor."""
     with open(path or default_path(), encoding="utf-8") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())
@@ -275,7 +278,7 @@ def _shared(docs: DataFrame, path: str | None):
 
 def _over_texts(docs: DataFrame, path: str | None, schema: str, make):
     text_batches(docs.sparkSession)
-    vocabulary = _shared(docs, path)
+    vocabulary = shared_vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary.value)
@@ -305,7 +308,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text from doc_id, ids."""
     text_batches(encoded.sparkSession)
-    vocabulary = _shared(encoded, path)
+    vocabulary = shared_vocabulary(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary.value)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,13 @@ LOCAL_SHARED = "/tmp/checkpoints/rillflow"
 TEXT_ROWS = 256
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, whatever folder they start in."""
+    root, env = str(Path(__file__).parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir."""
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED
@@ -25,6 +34,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     This cuts the lineage in a way that survives lost executors, and computes df once
     (checkpoint() computes it twice)."""
     spark = df.sparkSession
+    importable(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -32,6 +42,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Bound Arrow batches, so that a run of very long texts fits in a Python worker."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

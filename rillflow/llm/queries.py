@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flac, licenses, mixing, pii, sharding, simhash
+from . import annuli, bpe, flac, licenses, mixing, pii, quality, separators, sharding, simhash
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.report(documents(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(documents(spark, sf_dir))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.report(documents(spark, sf_dir))
 
@@ -40,8 +48,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annuli.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op3_mixing, op5_flac, op6_bpe, op7_licenses, op8_sharding, op9_simhash)}
+    return {f.__name__: f for f in (op1_pii, op2_token_counts, op3_mixing, op4_quality, op5_flac, op6_bpe, op7_licenses, op8_sharding, op9_simhash, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
