@@ -1,28 +1,15 @@
-"""The registry of queries and their DuckDB counterparts."""
+"""All queries of the library (but those of the optional corpus package) and their DuckDB counterparts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import registry
+from .functions import control, web  # noqa: F401  importing registers their queries
+from .operators import event_log, folds, graph, invocations, tasks  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; Spark prunes its columns and pushes filters into the scan."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _invocation_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
-
-
-def queries() -> dict[str, Query]:
-    return {"invocation_projection": _invocation_projection}
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"invocation_projection": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id"}
+    return dict(registry.ORACLES)
