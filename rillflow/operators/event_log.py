@@ -226,7 +226,7 @@ def queue_dedup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.col("props").alias("item")).agg(F.min("event_id").alias("first_seq"), F.max_by("value", "event_id").alias("payload"))
 
 
-@query("SELECT props AS item, min(epoch_ms(ts) + CAST(floor(value * 1000) AS BIGINT)) AS ready_ms FROM events GROUP BY props")
+@query("SELECT props AS item, min(epoch_us(ts) // 1000 + CAST(floor(value * 1000) AS BIGINT)) AS ready_ms FROM events GROUP BY props")
 def delay_queue_order(spark: SparkSession, d: str) -> DataFrame:
     """Of an item's duplicates the earliest is kept; items leave by that time."""
     ready = F.unix_millis(F.col("ts").cast("timestamp")) + F.floor(F.col("value") * 1000)
