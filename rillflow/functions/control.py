@@ -85,7 +85,7 @@ def cf_noop(spark: SparkSession, d: str) -> DataFrame:
     return invocations(spark, d).select("invocation_id", noop({"other": F.col("status"), "default": F.col("priority")}).alias("output"), noop({}).alias("nothing"))
 
 
-@query(INV + "SELECT invocation_id, '{\"a\":\"' || status || '\",\"default\":\"' || priority || '\"}' AS all_inputs, priority AS only_default FROM inv")
+@query(INV + "SELECT invocation_id, '{\"a\":\"' || status || '\",\"default\":\"' || priority || '\"}' AS all_inputs, priority AS only_default FROM inv", name="compose")
 def cf_compose(spark: SparkSession, d: str) -> DataFrame:
     return invocations(spark, d).select("invocation_id", compose({"a": F.col("status"), "default": F.col("priority")}).alias("all_inputs"), compose({"default": F.col("priority")}).alias("only_default"))
 
@@ -226,3 +226,31 @@ def priority_order(spark: SparkSession, d: str) -> DataFrame:
     """Inputs by falling priority; one that is no number counts as 0; ties by key."""
     p = F.coalesce(F.left("priority", F.lit(1)).try_cast("int"), F.lit(0))
     return invocations(spark, d).select("workflow_id", "invocation_id", F.row_number().over(Window.partitionBy("workflow_id").orderBy(F.desc(p), "invocation_id")).cast("long").alias("turn"))
+
+
+def js_substring(text: Column, a: Column, b: Column) -> Column:
+    """Characters from a to b, counted from 0; bounds are clamped and swapped if need be."""
+    low, high = (F.least(F.greatest(x, F.lit(0)), F.length(text)) for x in (a, b))
+    return F.substring(text, F.least(low, high) + 1, F.greatest(low, high) - F.least(low, high))
+
+
+@query(INV + "SELECT invocation_id, substr(priority, 3, 4) AS part, strpos(priority, '-') - 1 AS dash, substr(priority, 1, 2) AS swapped, trim('  ' || status || ' ') AS trimmed, priority || ' ' || status AS joined FROM inv")
+def expr_strings(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("priority")
+    at = lambda a, b: js_substring(p, F.lit(a), F.lit(b))
+    return invocations(spark, d).select("invocation_id", at(2, 6).alias("part"), (F.instr(p, "-") - 1).cast("long").alias("dash"), at(2, -5).alias("swapped"), F.trim(F.concat(F.lit("  "), F.col("status"), F.lit(" "))).alias("trimmed"), F.concat(p, F.lit(" "), F.col("status")).alias("joined"))
+
+
+@query(INV + "SELECT invocation_id, xor(invocation_id::INTEGER, 5)::BIGINT AS xored, invocation_id / 4.0::DOUBLE AS quotient, CASE WHEN invocation_id % 7 = 0 THEN NULL ELSE 100.0::DOUBLE / (invocation_id % 7) END AS guarded FROM inv")
+def expr_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Arithmetic in doubles; a division by zero is a null, not a failed job."""
+    i = F.col("invocation_id")
+    return invocations(spark, d).select("invocation_id", i.bitwiseXOR(F.lit(5)).alias("xored"), (i / 4).alias("quotient"), F.try_divide(F.lit(100.0), i % 7).alias("guarded"))
+
+
+@query(INV + "SELECT invocation_id, 'price=' || CAST(CAST(price AS BIGINT) AS VARCHAR) || ';status=' || status AS entries FROM (SELECT invocation_id, floor(price) AS price, status FROM inv)")
+def struct_to_map(spark: SparkSession, d: str) -> DataFrame:
+    """A struct's fields as a map, through JSON."""
+    s = F.struct(F.floor("price").cast("string").alias("price"), "status")
+    m = F.from_json(F.to_json(s), "map<string,string>")
+    return invocations(spark, d).select("invocation_id", F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";").alias("entries"))

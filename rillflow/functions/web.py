@@ -142,3 +142,18 @@ def http_url_normalize(spark: SparkSession, d: str) -> DataFrame:
     """An address without a scheme gets one."""
     bare = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", "^https?://", "")).otherwise(F.col("url"))
     return table(spark, d, "pages").select("page_id", bare.alias("b")).select("page_id", F.when(F.col("b").rlike("^https?://"), F.col("b")).otherwise(F.concat(F.lit("http://"), F.col("b"))).alias("url"))
+
+
+@query("SELECT page_id, coalesce(CASE WHEN page_id % 3 = 0 THEN 'text/html' END, CASE WHEN page_id % 3 = 1 THEN 'application/xml' END, 'text/plain') AS content_type FROM pages")
+def content_type_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The content-type input, else the header of exactly that name, else what the value's kind says."""
+    i = F.col("page_id")
+    given = F.when(i % 3 == 0, "text/html")
+    headers = F.when(i % 3 == 1, F.create_map(F.lit("Content-Type"), F.lit("application/xml"))).otherwise(F.create_map(F.lit("content-type"), F.lit("text/css")))
+    return table(spark, d, "pages").select("page_id", F.coalesce(given, F.try_element_at(headers, F.lit("Content-Type")), F.lit("text/plain")).alias("content_type"))
+
+
+@query("SELECT page_id, html AS body, html AS default_input, coalesce(regexp_extract(url, '\\?([^#]*)', 1), '') AS query, CASE WHEN length(html) > 0 THEN 'POST' ELSE 'GET' END AS method FROM pages")
+def http_request_source(spark: SparkSession, d: str) -> DataFrame:
+    """Requests as rows: the body is the default input as well."""
+    return table(spark, d, "pages").select("page_id", F.col("html").alias("body"), F.col("html").alias("default_input"), F.regexp_extract("url", r"\?([^#]*)", 1).alias("query"), F.when(F.length("html") > 0, "POST").otherwise("GET").alias("method"))

@@ -244,3 +244,26 @@ def fsm_transitions(spark: SparkSession, d: str) -> DataFrame:
     legal = spark.createDataFrame(TRANSITIONS, "from_state string, to_state string").withColumn("ok", F.lit(True))
     pairs = notification_pairs(spark, d).filter("before IS NOT NULL").select("event_id", F.col("before").alias("from_state"), F.col("event_type").alias("to_state"))
     return pairs.join(F.broadcast(legal), ["from_state", "to_state"], "left").select("event_id", "from_state", "to_state", F.coalesce("ok", F.lit(False)).alias("legal"))
+
+
+@query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00'")
+def replay_suppression(spark: SparkSession, d: str) -> DataFrame:
+    """Only events after a subscriber's start notify it; the filter reaches the scan."""
+    return table(spark, d, "events").filter(F.col("ts") > F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("event_id")
+
+
+@query("SELECT CAST(user_id % 4 AS BIGINT) AS queue, count(DISTINCT props) AS length, least(count(DISTINCT props), 50) AS accepted FROM events GROUP BY 1")
+def queue_length(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct items that wait in each queue, and those that one of 50 places takes."""
+    items = table(spark, d, "events").select((F.col("user_id") % 4).alias("queue"), "props").distinct()
+    n = items.groupBy("queue").agg(F.count(F.lit(1)).alias("length"))
+    return n.select("queue", "length", F.least("length", F.lit(50).cast("long")).alias("accepted"))
+
+
+@query("WITH" + EV + " SELECT t.event_id, t.aggregate_id AS task_run_id, i.user_id AS invocation_id, i.created FROM ev t JOIN (SELECT user_id, min(ts) AS created FROM ev WHERE event_type = 'InvocationCreated' GROUP BY user_id) i ON t.parent_id = i.user_id::VARCHAR")
+def task_event_parent_join(spark: SparkSession, d: str) -> DataFrame:
+    """Task events with the invocation they fold into."""
+    ev = events(spark, d)
+    own = ev.filter(F.col("event_type") == "InvocationCreated").groupBy(F.col("user_id").alias("invocation_id")).agg(F.min("ts").alias("created"))
+    tasks = ev.filter("parent_id IS NOT NULL").select("event_id", F.col("aggregate_id").alias("task_run_id"), "parent_id")
+    return tasks.join(own, F.col("parent_id") == F.col("invocation_id").cast("string")).select("event_id", "task_run_id", "invocation_id", "created")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..registry import query
 from ..sources.log import ORD, invocations, table
@@ -113,3 +114,10 @@ def invocation_controller_action(spark: SparkSession, d: str) -> DataFrame:
         .otherwise("schedule")
     )
     return invocations(spark, d).join(tasks, "invocation_id", "left").select("invocation_id", action.alias("action"))
+
+
+@query(INV + "SELECT invocation_id, created_at, row_number() OVER (ORDER BY created_at, invocation_id) AS position FROM inv ORDER BY created_at, invocation_id LIMIT 100")
+def list_order(spark: SparkSession, d: str) -> DataFrame:
+    """The first hundred by time, as a listing shows them (a top-k, so no full sort)."""
+    first = invocations(spark, d).select("invocation_id", "created_at").orderBy("created_at", "invocation_id").limit(100)
+    return first.withColumn("position", F.row_number().over(Window.orderBy("created_at", "invocation_id")).cast("long"))

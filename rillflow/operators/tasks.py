@@ -129,3 +129,18 @@ def inject_dynamic_edges(spark: SparkSession, d: str) -> DataFrame:
     children = t.filter("task_id % 2 = 0").select("invocation_id", F.col("task_id").alias("dep_id"), (F.col("task_id") + 100).alias("child"))
     more = edges.join(children, ["invocation_id", "dep_id"]).filter("task_id != child").select("invocation_id", "task_id", F.col("child").alias("dep_id"), F.lit("DYNAMIC_OUTPUT").alias("dep_type"))
     return edges.select("invocation_id", "task_id", "dep_id", F.lit("DATA").alias("dep_type")).unionByName(more)
+
+
+@query(C + "SELECT function_ref, min(invocation_id * 100 + task_id) AS first_task FROM chain GROUP BY function_ref")
+def distinct_function_refs(spark: SparkSession, d: str) -> DataFrame:
+    """Each function reference once, with its first task."""
+    return chain(spark, d).groupBy("function_ref").agg(F.min(F.col("invocation_id") * 100 + F.col("task_id")).alias("first_task"))
+
+
+@query(C + "SELECT invocation_id, task_id, coalesce(s.function_ref, t.function_ref) AS function_ref, CASE WHEN s.function_ref IS NULL THEN 'spec' ELSE 'status' END AS origin FROM chain t LEFT JOIN (SELECT invocation_id, task_id, upper(function_ref) AS function_ref FROM chain WHERE status = 'SUCCEEDED') s USING (invocation_id, task_id)")
+def status_spec_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """A task as its status has it, filled from the specification."""
+    t = chain(spark, d)
+    s = t.filter("status = 'SUCCEEDED'").select("invocation_id", "task_id", F.upper("function_ref").alias("resolved"))
+    both = t.join(s, ["invocation_id", "task_id"], "left")
+    return both.select("invocation_id", "task_id", F.coalesce("resolved", "function_ref").alias("function_ref"), F.when(F.col("resolved").isNull(), "spec").otherwise("status").alias("origin"))
