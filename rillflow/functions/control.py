@@ -221,11 +221,11 @@ def expr_truthiness(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", truthy(e % 3, "number").alias("number"), truthy(text, "string").alias("string"), (~truthy(e % 2 == 0, "bool")).alias("negated"))
 
 
-@query(INV + "SELECT workflow_id, invocation_id, row_number() OVER (PARTITION BY workflow_id ORDER BY coalesce(try_cast(left(priority, 1) AS INTEGER), 0) DESC, invocation_id) AS turn FROM inv")
+@query(INV + "SELECT o_custkey, invocation_id, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(try_cast(left(priority, 1) AS INTEGER), 0) DESC, invocation_id) AS turn FROM inv")
 def priority_order(spark: SparkSession, d: str) -> DataFrame:
-    """Inputs by falling priority; one that is no number counts as 0; ties by key."""
+    """A customer's invocations by falling priority; one that is no number counts as 0; ties by key."""
     p = F.coalesce(F.left("priority", F.lit(1)).try_cast("int"), F.lit(0))
-    return invocations(spark, d).select("workflow_id", "invocation_id", F.row_number().over(Window.partitionBy("workflow_id").orderBy(F.desc(p), "invocation_id")).cast("long").alias("turn"))
+    return invocations(spark, d).select("o_custkey", "invocation_id", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc(p), "invocation_id")).cast("long").alias("turn"))
 
 
 def js_substring(text: Column, a: Column, b: Column) -> Column:

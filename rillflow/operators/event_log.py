@@ -25,10 +25,11 @@ def event_stream_key(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", stream_key().alias("stream_key"))
 
 
-@query(KEYED + "SELECT event_id, event_type, row_number() OVER (ORDER BY ts, event_id) AS seq FROM keyed WHERE stream_key = 'invocation/7'")
+@query(KEYED + "SELECT event_id, event_type, ts FROM keyed WHERE stream_key = 'invocation/7'")
 def events_for_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    """A key's events in append order."""
     own = events(spark, d).filter((F.coalesce("parent_type", "aggregate_type") == "invocation") & (F.coalesce("parent_id", "aggregate_id") == "7"))
-    return own.select("event_id", "event_type", F.row_number().over(Window.orderBy("ts", "event_id")).cast("long").alias("seq"))
+    return own.select("event_id", "event_type", "ts").orderBy("ts", "event_id")
 
 
 @query(KEYED + "SELECT stream_key FROM keyed GROUP BY stream_key HAVING arg_max(event_type, (ts, event_id)) NOT IN ('InvocationCompleted')")
