@@ -52,3 +52,15 @@ def test_few_and_no_rows(spark):
 def test_large_components_stay_exact():
     a = np.array([[2.0**31, 1.0], [-(2.0**31), 3.0]])
     assert annuli.products(a, a).tolist() == [[2**62 + 1, -(2**62) + 3], [-(2**62) + 3, 2**62 + 9]]
+
+
+def test_query_matches_its_sql(spark):
+    import duckdb
+
+    from rillflow.llm import queries
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet'")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in queries.op10_top_k(spark, d).collect())
+    assert got == sorted(con.execute("SELECT query_id, rank, vec_id, score FROM (" + queries.TOP_K + ")").fetchall())
