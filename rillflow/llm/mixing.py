@@ -33,7 +33,7 @@ WEIGHTS = (1, 2, 3)
 #: No source, and no document, is taken more than so many times.
 MOST = 3
 #: Words in a block, slots in an output shard, documents in a bucket of the running offsets.
-BLOCK, SHARD, BUCKET = 64, 4096, 4096
+BLOCK, SHARD, BUCKET = 64, 4096, 512
 SEED = 20
 
 
@@ -157,7 +157,7 @@ def _joined(rows: DataFrame) -> tuple[DataFrame, Sources]:
     sources = Sources.of(rows.select("source", F.col("__size").alias("size")))
     parts = pieces(rows, sources, rows.count())
     uses = slots(rows.sparkSession, sources).groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
-    return parts.join(uses, ["src", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0))), sources
+    return parts.join(uses.hint("merge"), ["src", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0))), sources
 
 
 def takes(docs: DataFrame) -> DataFrame:

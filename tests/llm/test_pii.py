@@ -72,3 +72,12 @@ def test_terms_that_stand_only_beside_an_entity_are_masked(spark):
     assert "badge" not in got[3].text and "@" not in got[3].text and "<email>" in got[3].text
     assert "write" in got[3].text and got[3].n_chars == len(got[3].text)
     assert got[105].text == dict(rows)[105]
+
+
+def test_matches_plain_python_on_random_strings(spark):
+    import random
+
+    rng = random.Random(9)
+    alphabets = ["ab1.@-_ ", "0123456789. ", "0123456789 -", "+12() .-3x", "aé@.1+ \U0001f600\n"]
+    rows = [(i, "".join(rng.choice(alphabets[i % 5]) for _ in range(rng.randrange(60)))) for i in range(3000)]
+    check(spark, rows)
