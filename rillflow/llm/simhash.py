@@ -2,10 +2,11 @@
 
 Every document gets a 64-bit fingerprint of its word shingles. Two fingerprints that differ in at
 most RADIUS bits agree on one of RADIUS + 1 bands of bits, so each distinct fingerprint goes to a
-shard per band. A shard's fingerprints form a BK-tree whose children are keyed by their distance to
-the parent; a search follows only the edges within the radius. A shard of more than TREE fingerprints
-is split into trees of at most TREE, and each pair of its trees is a unit of work of its own: one tree
-is sent to the unit and searched with the other's fingerprints. A unit reports its links as a star for
+shard per band; shards of over REFINE are cut again by bands of their other bits. A shard's fingerprints
+form a BK-tree whose children are keyed by their distance to the parent; a search follows only the edges
+within the radius. A shard of more than TREE fingerprints is split into trees of at most TREE, and each
+pair of its trees is a unit of work of its own: one tree is sent to the unit and searched with the other's
+fingerprints. A unit reports its links as a star for
 each group it finds (never all pairs), and the stars are joined into components.
 
 Defined results: null and empty texts have no words and fingerprint 0, linked like any other; texts
@@ -17,6 +18,7 @@ gives an empty result; extra columns are ignored by components() and kept by kee
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from .common import stored, text_batches
 WORDS, SEED, RADIUS, BITS = 4, 42, 4, 64
 #: Fingerprints in one tree, and in the trees that are searched at once.
 TREE, AT_ONCE = 2048, 65536
+#: Fingerprints in a shard that is cut again, and how often shards are cut.
+REFINE, LEVELS = 8 * TREE, 3
 #: A-Z become a-z and white space becomes a space.
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b" " * 5)
 
@@ -148,20 +152,47 @@ def _unit_links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int)
     return a[a != b], b[a != b]
 
 
+def _banded(rows: DataFrame, radius: int) -> DataFrame:
+    """fp, shard, rest, width: a row for each of radius + 1 bands of the ``width`` remaining bits ``rest``, with the bits left beside it."""
+    cut = rows.select("fp", "shard", "rest", "width", F.explode(F.array(*[F.lit(i) for i in range(radius + 1)])).alias("band"))
+    cut = cut.selectExpr("*", f"width * band div {radius + 1} AS lo", f"width * (band + 1) div {radius + 1} AS hi")
+    cut = cut.selectExpr("*", "CAST(hi - lo AS INT) AS w", "shiftrightunsigned(rest, CAST(lo AS INT)) AS up")  # lo is under 64
+    return cut.selectExpr(
+        "fp",
+        "xxhash64(shard, band, up & (shiftleft(1L, w) - 1)) AS shard",
+        "(rest & (shiftleft(1L, CAST(lo AS INT)) - 1)) | shiftleft(shiftrightunsigned(up, w), CAST(lo AS INT)) AS rest",
+        "CAST(width - w AS INT) AS width",
+    )
+
+
+def _units(nodes: DataFrame, radius: int) -> DataFrame:
+    """fp, unit, side: the units of work. side 0 is a tree, side 1 what it is searched with, side 2 is both.
+
+    A shard of over REFINE fingerprints is cut again by the bands of its other bits (which differ in RADIUS
+    bits at most as well), LEVELS times; what is still over TREE then goes to pairs of trees."""
+    rows = nodes.select("fp", F.lit(0).cast("long").alias("shard"), F.col("fp").alias("rest"), F.lit(BITS).alias("width"))
+    units = []
+    for level in range(LEVELS):
+        rows = _banded(rows, radius)
+        sizes = stored(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-shards")
+        more = level + 1 < LEVELS and sizes.filter(F.col("n") > REFINE).first() is not None
+        # parts: how many trees a shard has; a tree's members are picked by a hash, so none is much over TREE
+        here = rows.join(sizes.filter(F.col("n") <= REFINE) if more else sizes, "shard").select("fp", "shard", F.ceil(F.col("n") / TREE).cast("int").alias("parts"))
+        units.append(here.withColumn("part", F.pmod(F.xxhash64("fp", "shard"), F.col("parts")).cast("int")))
+        if not more:
+            break
+        rows = stored(rows.join(sizes.filter(F.col("n") > REFINE), "shard", "left_semi"), "simhash-large")
+    placed = reduce(DataFrame.unionByName, units)
+    me = F.col("part")
+    # unit (i, j), i <= j: tree i searched with the fingerprints of j; a fingerprint of part p is in every pair with p
+    pairs = placed.select("fp", "shard", me.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return pairs.select("fp", F.xxhash64("shard", F.least(me, "other"), F.greatest(me, "other")).alias("unit"), F.when(me == F.col("other"), 2).when(me < F.col("other"), 0).otherwise(1).cast("int").alias("side"))
+
+
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: links between the distinct fingerprints (column fp) that give the components within the radius."""
     spark = nodes.sparkSession
-    edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    bands = F.array(*[F.shiftrightunsigned(F.shiftleft("fp", lo), BITS - (hi - lo)) for lo, hi in zip(edges, edges[1:])])
-    banded = nodes.select("fp", F.posexplode(bands).alias("band", "value"))
-    sizes = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # parts: how many trees a shard has; a tree's members are picked by a hash, so none is much over TREE
-    sizes = sizes.select("band", "value", F.ceil(F.col("n") / TREE).cast("int").alias("parts"))
-    placed = banded.join(sizes, ["band", "value"]).withColumn("part", F.pmod(F.xxhash64("fp", "band"), F.col("parts")).cast("int"))
-    me = F.col("part")
-    # unit (i, j), i <= j: tree i searched with the fingerprints of j; a fingerprint of part p is in every pair with p
-    units = placed.select("fp", "band", "value", me.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    units = units.select("fp", F.xxhash64("band", "value", F.least(me, "other"), F.greatest(me, "other")).alias("unit"), F.when(me == F.col("other"), 2).when(me < F.col("other"), 0).otherwise(1).cast("int").alias("side"))
+    units = _units(nodes, radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from rillflow.llm import simhash
@@ -54,8 +55,10 @@ def test_odd_texts(spark):
     assert simhash.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_dense_groups_in_many_trees(spark, monkeypatch):
+@pytest.mark.parametrize("refine", [10**6, 40])
+def test_dense_groups_in_many_trees(spark, monkeypatch, refine):
     monkeypatch.setattr(simhash, "TREE", 16)
+    monkeypatch.setattr(simhash, "REFINE", refine)
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**64, 5, np.uint64)
     fps = [int(c) ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 7)), False)) for c in centres for _ in range(120)] + rng.integers(0, 2**64, 300, np.uint64).tolist()
