@@ -50,19 +50,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def running_sum(rows: DataFrame, group: list[str], bucket: list[str], inside: list[str], value: str, name: str) -> DataFrame:
+def running_sum(rows: DataFrame, group: list[str], buckets: list[list[str]], inside: list[str], value: str, name: str) -> DataFrame:
     """rows with ``name``: the sum of ``value`` over the rows before this one in its group.
 
-    The order is by ``bucket``, then ``inside``. It takes two levels, so that no task holds a group:
-    sums per bucket, then a window over each bucket. ``rows`` is read twice and must be stored."""
-    keys = [*group, *bucket]
-    sums = rows.groupBy(*keys).agg(F.sum(value).alias("__sum"))
-    before = sums.select(*keys, (F.sum("__sum").over(Window.partitionBy(*group).orderBy(*bucket)) - F.col("__sum")).alias("__before"))
-    here = rows.withColumn("__inside", F.sum(value).over(Window.partitionBy(*keys).orderBy(*inside)) - F.col(value))
-    return here.join(before, keys).withColumn(name, F.col("__before") + F.col("__inside")).drop("__before", "__inside")
-
-
-def hash_bits(hashed: str, groups: int, rows: int, most: int) -> Column:
-    """The leading bits of a hash, as many as keep buckets near ``most`` rows."""
+    ``buckets`` part a group into ordered buckets and those again; rows of the last buckets are ordered by
+    ``inside``. Each level is summed and scanned within the bucket above it, so no task holds a group, nor
+    the buckets of one. ``rows`` is read twice and must be stored."""
+    keys = [[*group, *(c for b in buckets[:i] for c in b)] for i in range(len(buckets) + 1)]
+    sums = stored(rows.groupBy(*keys[-1]).agg(F.sum(value).alias("__sum")), "scan-sums")
+    before = None
+    for above, here, order in zip(keys, keys[1:], buckets):
+        level = sums.groupBy(*here).agg(F.sum("__sum").alias("__sum")) if here != keys[-1] else sums
+        level = level.select(*here, (F.sum("__sum").over(Window.partitionBy(*above).orderBy(*order)) - F.col("__sum")).alias("__own"))
+        level = level.withColumn("__before", F.col("__own")) if before is None else level.join(before, above).withColumn("__before", F.col("__before") + F.col("__own"))
+        before = level.drop("__own")
+    here = rows.withColumn("__inside", F.sum(value).over(Window.partitionBy(*keys[-1]).orderBy(*inside)) - F.col(value))
+    return here.join(before, keys[-1]).withColumn(name, F.col("__before") + F.col("__inside")).drop("__before", "__inside")
+
+
+def hash_bits(hashed: str, groups: int, rows: int, most: int) -> tuple[Column, Column]:
+    """The leading bits of a hash, as many as keep buckets near ``most`` rows, and the first half of those bits."""
     bits = max(0, (rows // (groups * most)).bit_length())
-    return (F.shiftrightunsigned(hashed, 64 - bits) if bits else F.lit(0)).cast("long")
+    lead = lambda n: (F.shiftrightunsigned(hashed, 64 - n) if n else F.lit(0)).cast("long")
+    return lead(bits), lead(bits // 2)

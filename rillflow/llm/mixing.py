@@ -24,7 +24,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import hash_bits, running_sum, stored, text_batches
 
@@ -32,8 +31,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 #: No source, and no document, is taken more than so many times.
 MOST = 3
-#: Words in a block, slots in an output shard, documents in a bucket of the running offsets.
-BLOCK, SHARD, BUCKET = 64, 4096, 512
+#: Words in a block, slots in an output shard, documents in a bucket of the running offsets, shards in one of theirs.
+BLOCK, SHARD, BUCKET, RUN = 64, 4096, 512, 4096
 SEED = 20
 
 
@@ -100,14 +99,15 @@ def numbered(docs: DataFrame, *keep: str | Column) -> DataFrame:
 def pieces(rows: DataFrame, sources: Sources, n_rows: int) -> DataFrame:
     """__row, src, block, from, words: the part of each block that each document fills; a row with no words has no block.
 
-    Offsets come from a scan in two levels: sums of buckets of about BUCKET rows, then within a bucket."""
+    Offsets come from a scan in three levels: coarse buckets, buckets of about BUCKET rows, then within a bucket."""
     src = F.lit(0)
     for i, name in enumerate(sources.names[1:], 1):
         src = src + F.when(F.col("source").isNull() if name is None else F.col("source") >= name, 1).otherwise(0) if name is not None else src
     if None in sources.names:
         src = F.when(F.col("source").isNull(), len(sources.names) - 1).otherwise(src)
-    rows = rows.select("__row", "doc_id", "source", F.col("__size").alias("size"), src.alias("src"), "__order", hash_bits("__order", 1, n_rows, BUCKET).alias("bucket"))
-    at = running_sum(rows, ["src"], ["bucket"], ["__order", "__row"], "size", "start")
+    bucket, coarse = hash_bits("__order", 1, n_rows, BUCKET)
+    rows = rows.select("__row", "doc_id", "source", F.col("__size").alias("size"), src.alias("src"), "__order", bucket.alias("bucket"), coarse.alias("coarse"))
+    at = running_sum(rows, ["src"], [["coarse"], ["bucket"]], ["__order", "__row"], "size", "start")
     blocks = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}")))
     cut = at.select("__row", "doc_id", "source", "size", "src", "start", F.explode_outer(blocks).alias("block"))
     first = F.greatest(F.col("start"), F.col("block") * BLOCK)
@@ -127,7 +127,7 @@ def slots(spark, sources: Sources) -> DataFrame:
                 n = rng.multinomial(min(SHARD, total - int(shard) * SHARD), quota / total)
                 yield pd.DataFrame({"shard": int(shard), "src": np.arange(len(n)), "n": n})
 
-    drawn = spark.range(n_shards).mapInPandas(draw, "shard long, src int, n long")
+    drawn = stored(spark.range(n_shards).mapInPandas(draw, "shard long, src int, n long").withColumn("run", F.expr(f"shard div {RUN}")), "mix-draws")
     per_source = {r["src"]: r["n"] for r in drawn.groupBy("src").agg(F.sum("n").alias("n")).collect()} if n_shards else {}
     got = np.array([per_source.get(i, 0) for i in range(len(quota))], np.int64)
     over, short = np.maximum(got - quota, 0), np.maximum(quota - got, 0)
@@ -149,8 +149,8 @@ def slots(spark, sources: Sources) -> DataFrame:
                     block[of == s] = permute(k[of == s] % n_blocks[s], n_blocks[s], keys[s])
                 yield pd.DataFrame({"shard": shard, "src": of, "k": k, "block": block})
 
-    start = F.sum("n").over(Window.partitionBy("src").orderBy("shard")) - F.col("n")
-    return drawn.select("shard", "src", start.alias("start"), "n").filter("n > 0").mapInPandas(fill, "shard long, src int, k long, block long")
+    started = running_sum(drawn, ["src"], [["run"]], ["shard"], "n", "start")
+    return started.select("shard", "src", "start", "n").filter("n > 0").mapInPandas(fill, "shard long, src int, k long, block long")
 
 
 def _joined(rows: DataFrame) -> tuple[DataFrame, Sources]:

@@ -190,15 +190,15 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with findings replaced by <kind>, strong terms removed and weaker ones generalised.
 
     Overlapping spans are merged from the left: the first keeps its label, the rest extend it."""
-    at = spans(docs).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), *KINDS, "terms")
+    at = spans(docs).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), *KINDS, "terms")
     labelled = F.concat(
         *[_labelled(k) for k in KINDS],
         F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["k"] == 0, "").otherwise("<term>").alias("l"))),
     )
     # equal rows have equal spans: one of each is joined
-    marks = at.filter(F.size(labelled) > 0).select("d", "h", F.array_sort(labelled).alias("marks")).dropDuplicates(["d", "h"])
+    marks = at.filter(F.size(labelled) > 0).select("__d", "__t", F.array_sort(labelled).alias("__marks")).dropDuplicates(["__d", "__t"])
     keyed = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(marks, keyed["doc_id"].eqNullSafe(marks["d"]) & (keyed["__h"] == marks["h"]), "left")
+    joined = keyed.join(marks, keyed["doc_id"].eqNullSafe(marks["__d"]) & (keyed["__h"] == marks["__t"]), "left")
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["s"] >= acc["p"]
@@ -208,8 +208,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
         )
 
     start = F.expr("named_struct('o', cast(array() as array<string>), 'p', 0)")
-    done = F.aggregate("marks", start, step, lambda acc: F.concat(F.array_join(acc["o"], ""), F.expr("''"), F.substring(F.col("text"), acc["p"] + 1, F.length("text"))))
-    text = F.when(F.col("marks").isNull(), F.col("text")).otherwise(done)
+    done = F.aggregate("__marks", start, step, lambda acc: F.concat(F.array_join(acc["o"], ""), F.expr("''"), F.substring(F.col("text"), acc["p"] + 1, F.length("text"))))
+    text = F.when(F.col("__marks").isNull(), F.col("text")).otherwise(done)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

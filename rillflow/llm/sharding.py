@@ -137,8 +137,8 @@ def _moved(rows: DataFrame, shards: int) -> tuple[DataFrame, dict[int, list[tupl
     sizes = {r["old_shard"]: (r["n"], r["rows"]) for r in rows.groupBy("old_shard").agg(F.sum("__size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}  # a row per shard
     old = [sizes.get(i, (0, 0))[0] for i in range(max(sizes, default=0) + 1)]
     moves = transfers(old, capacities(sum(old), shards))
-    lined = rows.withColumn("__class", (-F.floor(F.log2("__size") * CLASSES)).cast("int")).withColumn("__bits", hash_bits("__order", len(old), sum(r for _, r in sizes.values()), BUCKET))
-    lined = running_sum(lined, ["old_shard"], ["__class", "__bits"], ["__order", "__row"], "__size", "__at")
+    lined = rows.withColumn("__class", (-F.floor(F.log2("__size") * CLASSES)).cast("int")).withColumn("__bits", hash_bits("__order", len(old), sum(r for _, r in sizes.values()), BUCKET)[0])
+    lined = running_sum(lined, ["old_shard"], [["__class"], ["__bits"]], ["__order", "__row"], "__size", "__at")
     out = lined.withColumn("mid", F.col("__at") + F.expr("__size div 2")).withColumn("shard", _target(moves).cast("int"))
     return stored(out.drop("__class", "__bits", "__at", "mid"), "shard-placed"), moves
 
@@ -155,8 +155,8 @@ def placed(docs: DataFrame, old_shard: Column | None = None, shards: int = SHARD
 
 def slotted(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """rows with ``slot``: 0, 1, 2 ... within each shard."""
-    counted = rows.withColumn("__one", F.lit(1).cast("long")).withColumn("__bits", hash_bits("__order", shards, rows.count(), BUCKET))
-    return running_sum(counted, ["shard"], ["__bits"], ["__order", "__row"], "__one", "slot")
+    counted = rows.withColumn("__one", F.lit(1).cast("long")).withColumn("__bits", hash_bits("__order", shards, rows.count(), BUCKET)[0])
+    return running_sum(counted, ["shard"], [["__bits"]], ["__order", "__row"], "__one", "slot")
 
 
 def report(docs: DataFrame) -> DataFrame:
