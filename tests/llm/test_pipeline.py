@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from rillflow.llm import bpe, mixing, quality
 from tests.llm.test_pii import brute as pii_brute
 from tests.llm.test_simhash import plain_components, plain_fingerprint
@@ -81,6 +82,21 @@ def test_odd_rows_and_empty_tables(spark):
         assert out.count() <= 3 * len(rows)
 
 
+def test_columns_with_the_names_of_inner_ones_pass_through(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    inner = ["d", "h", "k", "marks", "terms", "kind", "text_hash", "fp", "root", "component_id", "score", "size", "src", "block", "start", "uses", "words", "shard", "slot", "old_shard", "ids", "n"]
+    wide = spark.createDataFrame(docs.collect(), docs.schema).withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")) for c in inner})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, SF)
+        if name == "bpe":
+            assert out.columns == ["doc_id", "ids", "n_tokens"] and out.count() > 0
+            break
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in inner)
+        wide = spark.createDataFrame(rows, wide.schema)
+
+
 def test_the_rest_stands_without_these_folders(tmp_path):
     shutil.copytree(REPO / "rillflow", tmp_path / "rillflow", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(REPO / "__spark_entry__.py", tmp_path)
