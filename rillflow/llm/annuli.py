@@ -6,7 +6,8 @@ vectors and the triangle inequality holds. Vectors are keyed by their nearest pi
 to it; a pivot's vectors form annuli, sorted by distance, and an annulus is stored in blocks. For a
 query at distance d from the pivot, nothing in an annulus from a to b is nearer than max(a - d, d - b).
 A query first visits the annuli with the smallest of these bounds; its k-th score then tells which
-others can still matter, and only those are visited. Queries go in blocks.
+others can still matter, and only those are visited. Queries go in blocks, and an annulus of many
+blocks is dealt out in shares, so that no task holds an annulus.
 
 Pivots come from a bounded sample (the PIVOTS_MOST vectors of the smallest hash at most); all vectors
 are indexed and the result is exact.
@@ -31,8 +32,8 @@ from .common import stored, text_batches
 
 SCALE, TOP, EVERY = 64, 20, 20
 PIVOTS_LEAST, PIVOTS_MOST, ROWS_A_PIVOT, RINGS = 4, 64, 4096, 8
-#: Vectors in a block, queries in a block, annuli of the first visit.
-BLOCK, QUERIES, FIRST = 1024, 256, 4
+#: Vectors in a block, queries in a block, annuli of the first visit, and blocks of an annulus that share a visit.
+BLOCK, QUERIES, FIRST, SHARE = 1024, 256, 4, 16
 EXACT = 2.0**53
 
 
@@ -141,7 +142,7 @@ def _visited(blocks: DataFrame, visits: DataFrame, dim: int, top: int) -> DataFr
             columns = [np.concatenate(o) if o else np.empty(0, np.int64) for o in out]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), from_pandas=True) for c in columns], ["q_row", "query_id", "vec_id", "score"])
 
-    joined = blocks.join(visits, "annulus").select("__row", "vec_id", "v", "rows", "ids", "q", "least")
+    joined = blocks.join(visits, ["annulus", "share"]).select("__row", "vec_id", "v", "rows", "ids", "q", "least")
     return joined.mapInArrow(run, "q_row long, query_id long, vec_id long, score long")
 
 
@@ -187,18 +188,22 @@ def search(table: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
             offsets, inner = np.array(x.offsets) - x.offsets[0].as_py(), x.flatten()
             m = matrix(inner.field(2), dim)
             take = lambda f: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), f)
-            yield pa.RecordBatch.from_arrays([b.column(0), take(inner.field(0)), take(inner.field(1)), pa.array([m[i:j].tobytes() for i, j in zip(offsets, offsets[1:])], pa.binary())], ["annulus", "__row", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), take(inner.field(0)), take(inner.field(1)), pa.array([m[i:j].tobytes() for i, j in zip(offsets, offsets[1:])], pa.binary()), b.column(2)], ["annulus", "__row", "vec_id", "v", "share"])
 
     text_batches(spark, 64)
-    blocks = stored(grouped.select("annulus", "x").mapInArrow(pack, "annulus long, __row array<long>, vec_id array<long>, v binary"), "top-blocks")
+    # an annulus of many blocks is dealt out in shares, and a visit goes to each of them
+    shares = F.ceil(n_parts / SHARE).cast("int")
+    packed = grouped.select("annulus", "x", (F.col("part") % shares).cast("int").alias("share")).mapInArrow(pack, "annulus long, __row array<long>, vec_id array<long>, v binary, share int")
+    blocks = stored(packed, "top-blocks")
+    spread = lambda visits: visits.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
     queries = v.filter(F.col("vec_id") % every == 0)
     text_batches(spark, QUERIES)
     early = stored(_visits(queries, index, dim, True), "top-visits")
     text_batches(spark, 16)
-    first = stored(_ranked(_visited(blocks, early, dim, top), top).drop("rank"), "top-first")
+    first = stored(_ranked(_visited(blocks, spread(early), dim, top), top).drop("rank"), "top-first")
     kth = first.groupBy("q_row").agg(F.when(F.count(F.lit(1)) >= top, F.min("score").cast("double")).alias("least"))
     with_least = queries.join(kth, queries["__row"] == kth["q_row"], "left").select("__row", "vec_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
     text_batches(spark, QUERIES)
     late = stored(_visits(with_least, index, dim, False), "top-visits")
     text_batches(spark, 16)
-    return _ranked(first.unionByName(_visited(blocks, late, dim, top)), top).select("query_id", "rank", "vec_id", "score")
+    return _ranked(first.unionByName(_visited(blocks, spread(late), dim, top)), top).select("query_id", "rank", "vec_id", "score")

@@ -35,6 +35,7 @@ def test_embeddings(spark):
 def test_clustered_ties_and_odd_rows(spark, monkeypatch, rows_a_pivot):
     monkeypatch.setattr(annuli, "ROWS_A_PIVOT", rows_a_pivot)
     monkeypatch.setattr(annuli, "BLOCK", 64)
+    monkeypatch.setattr(annuli, "SHARE", 2)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(6, 8)) * 3
     rows = [(i, (centres[i % 6] + rng.normal(size=8) * 0.05).tolist()) for i in range(700)]
