@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 #: Used only where the session names no shared folder (tests, local runs).
 LOCAL_SHARED = "/tmp/checkpoints/rillflow"
-#: Rows of text handed to Python at once; bounds a batch to rows x the longest text.
-TEXT_ROWS = 256
+#: Rows and bytes of text handed to Python at once; a single longer text is a batch of its own.
+TEXT_ROWS, TEXT_BYTES = 256, 32 << 20
 
 
 def importable(spark: SparkSession) -> None:
@@ -44,6 +44,7 @@ def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Bound Arrow batches, so that a run of very long texts fits in a Python worker."""
     importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
