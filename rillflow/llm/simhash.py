@@ -256,8 +256,12 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: the smallest doc_id (null last), of equal ones the smallest text hash."""
+    """One document of each component: the smallest doc_id (null last), of equal ones the smallest text hash.
+
+    Rows are told apart by 128 bits of hashes; the join and the removal of repeated rows share one shuffle by them."""
+    key = lambda text_hash: F.xxhash64("doc_id", text_hash).alias("__key")
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-    kept = components(docs).groupBy("root").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__text")).distinct()
-    chosen = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__text")), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "text"])
+    kept = components(docs).groupBy("root").agg(F.min(first).alias("k")).select("k.doc_id", F.col("k.text_hash").alias("__text"))
+    kept = kept.select(key("__text"), "__text").distinct()
+    keyed = docs.select("*", key(F.xxhash64("text")), F.xxhash64("text").alias("__text"))
+    return keyed.join(kept, ["__key", "__text"], "left_semi").dropDuplicates(["__key", "__text"]).select(docs.columns)
