@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.log import CHAIN, DAG, chain, dag
+from ..sources.shared import shared_dir
 
 KEY = ["g", "task_id"]
 
@@ -56,8 +57,7 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Peels one wave of all graphs at once, so the rounds are as many as the longest chain of tasks, not
     as the graphs. Tasks on or behind a cycle have no wave."""
-    shared = nodes.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
-    nodes.sparkSession.sparkContext.setCheckpointDir(shared or "/tmp/checkpoints/rillflow")
+    nodes.sparkSession.sparkContext.setCheckpointDir(shared_dir(nodes.sparkSession))
     left, edges, found, wave = nodes.select("g", "task_id").distinct(), edges_within(edges, nodes), [], 1
     while True:
         ready = left.join(edges.select("g", "task_id"), KEY, "left_anti").checkpoint()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.log import EV_LIVE, TASK_KINDS
+from ..sources.shared import shared_dir
 
 
 def state(events: DataFrame) -> DataFrame:
@@ -28,8 +29,7 @@ def state(events: DataFrame) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/rillflow"
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("WITH" + EV_LIVE + " SELECT user_id, CASE arg_max(event_type, (ts, event_id)) FILTER (WHERE aggregate_type = 'invocation') WHEN 'InvocationCompleted' THEN 'SUCCEEDED' ELSE 'IN_PROGRESS' END AS status, arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'InvocationCompleted') AS output FROM live GROUP BY user_id")
