@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Used only where the session names no shared folder (tests, local runs).
-LOCAL_SHARED = "/tmp/checkpoints/rillflow"
+from rillflow.sources.shared import shared_dir
+
 #: Rows and bytes of text handed to Python at once; a single longer text is a batch of its own.
 TEXT_ROWS, TEXT_BYTES = 256, 32 << 20
 
@@ -23,11 +23,6 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED
-
-
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df to a new table in the shared folder and read it back.
 
@@ -35,7 +30,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     (checkpoint() computes it twice)."""
     spark = df.sparkSession
     importable(spark)
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
