@@ -31,6 +31,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 #: No source, and no document, is taken more than so many times.
 MOST = 3
+#: Fills (of SHARD slots at most) that are written at once, and slots that a task fills.
+FILLS, SLOTS_A_TASK = 64, 1 << 20
 #: Words in a block, slots in an output shard, documents in a bucket of the running offsets, shards in one of theirs.
 BLOCK, SHARD, BUCKET, RUN = 64, 4096, 512, 4096
 SEED = 20
@@ -135,6 +137,8 @@ def slots(spark, sources: Sources) -> DataFrame:
     n_blocks, keys = sources.blocks, [sources.key(i) for i in range(len(quota))]
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        rows = lambda: pd.DataFrame(np.concatenate(held, axis=1).T, columns=["shard", "src", "k", "block"])
         for b in batches:
             for shard, src, start, n in zip(b["shard"], b["src"], b["start"], b["n"]):
                 k = np.arange(start, start + n)
@@ -147,10 +151,17 @@ def slots(spark, sources: Sources) -> DataFrame:
                 block = np.empty(n, np.int64)
                 for s in np.unique(of):
                     block[of == s] = permute(k[of == s] % n_blocks[s], n_blocks[s], keys[s])
-                yield pd.DataFrame({"shard": shard, "src": of, "k": k, "block": block})
+                held.append(np.stack([np.full(n, shard), of, k, block]))
+                if len(held) == FILLS:
+                    yield rows()
+                    held.clear()
+        if held:
+            yield rows()
 
     started = running_sum(drawn, ["src"], [["run"]], ["shard"], "n", "start")
-    return started.select("shard", "src", "start", "n").filter("n > 0").mapInPandas(fill, "shard long, src int, k long, block long")
+    # few rows make many slots, so the number of tasks follows the slots
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SLOTS_A_TASK)
+    return started.select("shard", "src", "start", "n").filter("n > 0").repartition(tasks, "shard").mapInPandas(fill, "shard long, src int, k long, block long")
 
 
 def _joined(rows: DataFrame) -> tuple[DataFrame, Sources]:
