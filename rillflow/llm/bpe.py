@@ -15,7 +15,8 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, filterfalse
 
 import pyarrow as pa
 import regex
@@ -29,6 +30,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 CACHED_WORDS = 400_000
 #: A mark that is a piece of its own after a word.
 MARKS = tuple(".,;:!?)")
+#: Texts in a batch: more share more words.
+ROWS = 1024
 #: Longer words are encoded each time.
 CACHED_BYTES = 48
 
@@ -68,17 +71,17 @@ class Vocabulary:
         self._sound: dict[int, bool] = {}
         self._edges: dict[tuple[int, bool], list[tuple[int, float]]] = {}
         self.usable = {b: i for b, i in self.id_of.items() if self.sound(i)}
-        #: The usable tokens by their bytes: step[node * 256 + byte] is the node below, token[node] ends there or is -1.
-        self.step: dict[int, int] = {}
+        #: The usable tokens by their bytes: step[node][byte] is the node below, token[node] ends there or is -1.
+        self.step: list[dict[int, int]] = [{}]
         self.token = [-1]
         for b, i in self.usable.items():
             node = 0
             for x in b:
-                below = self.step.get(node << 8 | x)
-                if below is None:
-                    below = self.step[node << 8 | x] = len(self.token)
+                if x not in self.step[node]:
+                    self.step[node][x] = len(self.token)
                     self.token.append(-1)
-                node = below
+                    self.step.append({})
+                node = self.step[node][x]
             self.token[node] = i
 
     def merge_by_rank(self, word: bytes) -> list[int]:
@@ -123,23 +126,32 @@ class Vocabulary:
         return known
 
 
+def as_ids(v: Vocabulary, ids: tuple[int, ...]) -> tuple[int, ...]:
+    return ids
+
+
+def as_digest_parts(v: Vocabulary, ids: tuple[int, ...]) -> tuple[int, str, bytes]:
+    """How many ids, the ids as decimal text, and what they decode to."""
+    return len(ids), ",".join(map(str, ids)), b"".join(map(v.bytes_of.__getitem__, ids))
+
+
 class Encoder:
     """Encodes texts; keeps what it has learnt of short words.
 
-    A space after anything but white space always starts a piece, so texts are cut there first:
-    ``chunks`` holds the ids of what follows such a space, as numbers, as decimal text and as bytes."""
+    A space after anything but white space always starts a piece, so texts are cut there first. ``of`` holds
+    each chunk in the form that the caller wants; its key is the chunk without the space before it, or, for
+    a chunk that no space precedes, with one behind it."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, form: Callable = as_ids) -> None:
+        self.v, self.form = vocabulary, form
         self.words = regex.compile(PATTERN)
         self.unsafe = regex.compile(r"\p{White_Space} ")
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         self.known: dict[str, tuple[int, ...]] = {}
-        self.ids_of: dict[str, tuple[int, ...]] = {}
-        self.digits: dict[str, str] = {}
+        self.of: dict[str, object] = {}
         self.apart: dict[int, bool] = {}
         self.size = {i: len(b) for b, i in vocabulary.usable.items()}
-        self.older: tuple[dict, dict] = ({}, {})
+        self.older: dict[str, object] = {}
         self.older_words: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, text: str) -> list[str]:
@@ -151,11 +163,12 @@ class Encoder:
         return out
 
     def chunks(self, text: str) -> list[str]:
-        """The text cut before each space, or whole where a cut could fall inside white space or a special token."""
+        """Keys of the text cut before each space, or whole where a cut could fall inside white space or a special token."""
         if self.unsafe.search(text) or text[:1] == " " or any(s in text for s in self.v.special):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            return [text + " "]
+        out = text.split(" ")
+        out[0] += " "
+        return out
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode the words that are not known yet, all in one trie.
@@ -170,7 +183,7 @@ class Encoder:
             else:
                 new.append((w.encode(), w))
         new.sort()
-        step, token, size, apart, crossed = self.v.step.get, self.v.token, self.size, self.apart, self.v.crossed
+        step, token, size, apart, crossed = self.v.step, self.v.token, self.size, self.apart, self.v.crossed
         # partial[d]: (start, node) of each token that the bytes from start to d begin
         before, state, partial = b"", [-1], [[]]
         for raw, w in new:
@@ -181,9 +194,9 @@ class Encoder:
             for depth in range(shared, len(raw)):
                 b, last, begun = raw[depth], -1, []
                 for start, node in [*partial[depth], (depth, 0)]:
-                    node = step(node << 8 | b)
-                    if node is None:
+                    if b not in (below := step[node]):
                         continue
+                    node = below[b]
                     begun.append((start, node))
                     if last < 0 <= (t := token[node]):
                         if start == 0:
@@ -210,18 +223,18 @@ class Encoder:
         """The chunks of each text, all of them known until the next call.
 
         What is full becomes the older generation; what is used again moves back from it."""
-        if len(self.ids_of) > CACHED_WORDS:
-            self.older, self.ids_of, self.digits = (self.ids_of, self.digits), {}, {}
+        if len(self.of) > CACHED_WORDS:
+            self.older, self.of = self.of, {}
         if len(self.known) > CACHED_WORDS:
             self.older_words, self.known = self.known, {}
         if len(self.apart) > 500_000:
             self.apart.clear()
         split = [self.chunks(t) if t else [] for t in texts]
-        new = set().union(*split) - self.ids_of.keys()
-        old_ids, old_digits = self.older
-        for c in new & old_ids.keys():
-            self.ids_of[c], self.digits[c] = old_ids[c], old_digits[c]
-        cut = {c: self.cut(c) for c in new if c not in self.ids_of}
+        of, form = self.of, self.form
+        new = set(filterfalse(of.__contains__, chain.from_iterable(split)))
+        for c in new & self.older.keys():
+            of[c] = self.older[c]
+        cut = {c: self.cut(c) for c in new if c not in of}
         words = set().union(*cut.values()) - self.known.keys()
         for w in words & self.older_words.keys():
             self.known[w] = self.older_words[w]
@@ -231,25 +244,24 @@ class Encoder:
             ids = known[p[0]] if p else ()
             for w in p[1:]:
                 ids += known[w]
-            self.ids_of[c] = ids
-            self.digits[c] = ",".join(map(str, ids))
+            of[c] = form(self.v, ids)
         yield from split
         for c in [c for c in cut if len(c) > CACHED_BYTES]:
-            del self.ids_of[c], self.digits[c]
+            del of[c]
         for w in [w for w in words if len(w) > CACHED_BYTES]:
             self.known.pop(w, None)
 
-    def cut(self, chunk: str) -> list[str]:
+    def cut(self, key: str) -> list[str]:
         """The pieces of a chunk; a word, or a word and one mark, needs no search."""
-        word = chunk[1:] if chunk[:1] == " " else chunk
+        space, word = ("", key[:-1]) if key[-1:] == " " else (" ", key)
         if word.isalpha():
-            return [chunk]
+            return [space + word]
         if word[-1:] in MARKS and word[:-1].isalpha():
-            return [chunk[:-1], chunk[-1]]
-        return self.pieces(chunk)
+            return [space + word[:-1], word[-1]]
+        return self.pieces(space + word)
 
     def ids(self, chunks: list[str]) -> list[int]:
-        return [i for c in chunks for i in self.ids_of[c]]
+        return list(chain.from_iterable(map(self.of.__getitem__, chunks)))
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.v.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -258,15 +270,15 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(vocabulary: str, special: bool = True) -> Encoder:
-    """One encoder for each worker process and vocabulary; special: whether special tokens in a text are encoded as such."""
-    key = f"{special} {hashlib.sha256(vocabulary.encode()).hexdigest()}"
+def encoder(vocabulary: str, form: Callable = as_ids, special: bool = True) -> Encoder:
+    """One encoder for each worker process, vocabulary and form; special: whether special tokens in a text are encoded as such."""
+    key = f"{special} {form.__name__} {hashlib.sha256(vocabulary.encode()).hexdigest()}"
     if key not in _encoders:
         _encoders.clear()
         made = Vocabulary(vocabulary)
         if not special:
             made.special = {}
-        _encoders[key] = Encoder(made)
+        _encoders[key] = Encoder(made, form)
     return _encoders[key]
 
 
@@ -276,12 +288,12 @@ def shared_vocabulary(docs: DataFrame, path: str | None):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _over_texts(docs: DataFrame, path: str | None, schema: str, make):
-    text_batches(docs.sparkSession)
+def _over_texts(docs: DataFrame, path: str | None, schema: str, form: Callable, make: Callable):
+    text_batches(docs.sparkSession, ROWS)
     vocabulary = shared_vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(vocabulary.value)
+        e = encoder(vocabulary.value, form)
         gc.disable()  # nothing here is cyclic, and collections would walk all learnt words again and again
         try:
             for b in batches:
@@ -302,7 +314,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def make(e: Encoder, doc_ids: pa.Array, split: list[list[str]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([doc_ids, pa.array([e.ids(p) for p in split], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return _over_texts(docs, path, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>", make)
+    return _over_texts(docs, path, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>", as_ids, make)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -324,15 +336,11 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def make(e: Encoder, doc_ids: pa.Array, split: list[list[str]]) -> pa.RecordBatch:
         n, of_ids, of_text = [], [], []
-        ids_of, token = e.ids_of, e.v.bytes_of.__getitem__
-        met = set().union(*split)
-        bytes_of = {c: b"".join(map(token, ids_of[c])) for c in met}
-        count = {c: len(ids_of[c]) for c in met}
         for s in split:
-            n.append(sum(map(count.__getitem__, s)))
-            of_ids.append(hashlib.sha256(",".join(map(e.digits.__getitem__, s)).encode()).hexdigest())
-            raw = b"".join(map(bytes_of.__getitem__, s))
-            of_text.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
+            count, digits, raw = zip(*map(e.of.__getitem__, s)) if s else ((), (), ())
+            n.append(sum(count))
+            of_ids.append(hashlib.sha256(",".join(digits).encode()).hexdigest())
+            of_text.append(hashlib.sha256(b"".join(raw).decode("utf-8", "replace").encode()).hexdigest())
         return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _over_texts(docs, path, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return _over_texts(docs, path, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", as_digest_parts, make)

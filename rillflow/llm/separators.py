@@ -14,6 +14,7 @@ rows count each by itself; an empty table gives an empty result; extra columns a
 from __future__ import annotations
 
 import gc
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +31,20 @@ from .common import stored, text_batches
 BLOCK, SEPARATOR = 1 << 16, 50256
 
 
+def as_tokens(v: bpe.Vocabulary, ids: tuple[int, ...]) -> bytes:
+    return struct.pack(f"<{len(ids)}H", *ids)
+
+
 def token_files(docs: DataFrame, path: str | None = None, separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
     """Encode all whole texts into token files, one for each partition, stored.
 
     Rows with tokens are blocks; rows with doc_ids are the manifest: the file's documents in order,
     from ordinal first_doc on, without their places."""
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, bpe.ROWS)
     vocabulary = bpe.shared_vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = bpe.encoder(vocabulary.value, special=False)
+        e = bpe.encoder(vocabulary.value, as_tokens, special=False)
         file, number, ordinal, rest = TaskContext.get().partitionId(), 0, 0, b""
         end = np.array([separator], "<u2").tobytes()
         kinds = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary()), ("first_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
@@ -49,8 +54,7 @@ def token_files(docs: DataFrame, path: str | None = None, separator: int = SEPAR
                 texts = b.column(1).to_pylist()
                 known = e.batch(texts)
                 split = [next(known) for _ in texts]
-                coded = {c: np.array(e.ids_of[c], "<u2").tobytes() for c in set().union(*split)}
-                rest += b"".join(b"".join([*map(coded.__getitem__, s), end]) for s in split)
+                rest += b"".join(b"".join([*map(e.of.__getitem__, s), end]) for s in split)
                 next(known, None)
                 whole = len(rest) // (2 * block)
                 rows = [{"file": file, "block": number + i, "tokens": rest[2 * block * i : 2 * block * (i + 1)]} for i in range(whole)]
