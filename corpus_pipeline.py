@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import bpe, mixing, pii, quality, simhash
+from rillflow.llm import bpe, copies, mixing, pii, quality
 from rillflow.llm.common import documents, stored
 
 
@@ -17,8 +17,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate component."""
-    return simhash.keep_one(docs)
+    """Keep one document of each component of near copies: 5-word shingles, Jaccard similarity of 0.8 or more."""
+    return copies.keep_one(docs)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,18 +37,18 @@ REFINE, LEVELS = 8 * TREE, 3
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b" " * 5)
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
+def shingle_hashes(text: str | None, size: int = WORDS) -> np.ndarray:
     words = (text or "").encode().translate(FOLD).split(b" ")
     words = [w for w in words if w]
     if not words:
         return np.empty(0, np.uint64)
     line = b" ".join(words)
-    if len(words) <= WORDS:
+    if len(words) <= size:
         return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
-    begins = [0, *ends[:-WORDS].tolist()]
+    begins = [0, *ends[:-size].tolist()]
     hash_of = xxhash.xxh64_intdigest
-    return np.array([hash_of(line[a:b], SEED) for a, b in zip(begins, (ends[WORDS - 1 :] - 1).tolist())], np.uint64)
+    return np.array([hash_of(line[a:b], SEED) for a, b in zip(begins, (ends[size - 1 :] - 1).tolist())], np.uint64)
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -256,12 +256,17 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: the smallest doc_id (null last), of equal ones the smallest text hash.
+    """One document of each component: the smallest doc_id (null last), of equal ones the smallest text hash."""
+    return one_of_each(docs, components(docs))
+
+
+def one_of_each(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The first document of each root in parts (doc_id, text_hash, root).
 
     Rows are told apart by 128 bits of hashes; the join and the removal of repeated rows share one shuffle by them."""
     key = lambda text_hash: F.xxhash64("doc_id", text_hash).alias("__key")
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-    kept = components(docs).groupBy("root").agg(F.min(first).alias("k")).select("k.doc_id", F.col("k.text_hash").alias("__text"))
+    kept = parts.groupBy("root").agg(F.min(first).alias("k")).select("k.doc_id", F.col("k.text_hash").alias("__text"))
     kept = kept.select(key("__text"), "__text").distinct()
     keyed = docs.select("*", key(F.xxhash64("text")), F.xxhash64("text").alias("__text"))
     return keyed.join(kept, ["__key", "__text"], "left_semi").dropDuplicates(["__key", "__text"]).select(docs.columns)
