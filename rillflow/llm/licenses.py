@@ -2,8 +2,8 @@
 
 A notice within k edits of a phrase holds one of the phrase's k + 1 pieces unchanged (pigeonhole), so
 exact finds of the pieces locate all candidates. In the windows around them the regex library matches
-the phrase with at most k errors, and a match counts if the phrase's key word is whole. Texts are
-compared as words: ASCII letters in lower case, joined by single spaces.
+the phrase with at most k errors, wherever they stand, and a match counts unless a rival of the notice
+(the phrase with another word in place of its key word) is nearer. Texts are compared as words: ASCII letters in lower case, joined by single spaces.
 
 Defined results: null and empty texts have no words and no labels, null first and last word, score 0;
 repeated rows repeat; an empty table gives an empty result; extra columns are ignored.
@@ -41,6 +41,8 @@ NOTICES = [
     ("mozilla public license version 2", "mozilla", "mpl-2"),
     ("all rights reserved", "reserved", "proprietary"),
 ]
+#: Words in place of a key word that make another notice within reach of the errors.
+RIVALS = {"mit": ("mpl", "nist"), "nc": ("nd", "sa"), "noncommercial": ("commercial",)}
 #: One error for so many characters of a phrase.
 CHARS_AN_ERROR = 10
 #: Bytes to words: A-Z in lower case, digits, letters and all of beyond ASCII stay, the rest parts words.
@@ -50,7 +52,8 @@ WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 @dataclass(frozen=True)
 class Notice:
     phrase: bytes
-    key: regex.Pattern
+    #: By errors less one, what finds a rival with no more errors.
+    rivals: tuple[regex.Pattern | None, ...]
     label: str
     errors: int
     seeds: tuple[tuple[int, bytes], ...]
@@ -61,7 +64,9 @@ def notice(phrase: str, key: str, label: str) -> Notice:
     raw, errors = phrase.encode(), len(phrase) // CHARS_AN_ERROR
     cuts = [len(raw) * i // (errors + 1) for i in range(errors + 2)]
     seeds = tuple((a, raw[a:b]) for a, b in zip(cuts, cuts[1:]))
-    return Notice(raw, regex.compile(rb"\b" + key.encode() + rb"\b"), label, errors, seeds, regex.compile(b"(?e)(?:" + regex.escape(raw) + b"){e<=%d}" % errors))
+    others = [regex.escape(phrase.replace(key, r).encode()) for r in RIVALS.get(key, ())]
+    rivals = tuple(regex.compile(b"|".join(b"(?:%s){e<=%d}" % (o, e) for o in others)) if others else None for e in range(errors))
+    return Notice(raw, rivals, label, errors, seeds, regex.compile(b"(?e)(?:" + regex.escape(raw) + b"){e<=%d}" % errors))
 
 
 def places(line: bytes, what: bytes) -> Iterator[int]:
@@ -107,10 +112,10 @@ class Scanner:
         for n in self.notices:
             for a, b in self.windows(line, n):
                 for m in n.pattern.finditer(line, a, b):
-                    if not n.key.search(m[0]):
+                    edits = sum(m.fuzzy_counts)
+                    if edits and n.rivals[edits - 1] and n.rivals[edits - 1].search(line, max(0, m.start() - n.errors), m.end() + n.errors):
                         continue
                     begin, end = m.start() + (m[0][:1] == b" "), m.end() - (m[0][-1:] == b" ")
-                    edits = sum(m.fuzzy_counts)
                     near.append((n.label, line.count(b" ", 0, begin) - 1, line.count(b" ", 0, end) - 1, edits))
                     score = max(score, 1 - edits / len(n.phrase))
         return Scan(len(words), base, sorted(set(near)), score)

@@ -50,3 +50,24 @@ def test_windows_miss_nothing_that_a_full_search_finds(spark):
         line = b" " + b" ".join((r.text or "").encode().translate(licenses.WORDS).split()) + b" "
         for n in s.notices[:2]:
             assert bool(n.pattern.search(line)) == any(n.pattern.search(line, a, b) for a, b in s.windows(line, n))
+
+
+def test_an_edit_may_stand_at_every_position():
+    s = licenses.Scanner()
+    for phrase, _, label in licenses.NOTICES:
+        if len(phrase) < licenses.CHARS_AN_ERROR:
+            continue
+        for i in range(len(phrase)):
+            for raw in (phrase[:i] + phrase[i + 1 :], phrase[:i] + "q" + phrase[i + 1 :], phrase[:i] + "q" + phrase[i:]):
+                assert any(x[0] == label and x[3] <= 2 for x in s.scan(f"some words {raw} and others").near), raw
+    f = s.scan("permission is hereby grantd free of charge to any person obtaining a copy")
+    assert f.near == [("mit", 0, 12, 1)] and f.score > 0.98
+    assert [x[0] for x in s.scan("redistributon and use in source and binary forms").near] == ["bsd"]
+    assert [x[0] for x in s.scan("apachee license version 2").near] == ["apache-2"]
+
+
+def test_rival_notices_are_told_apart():
+    s = licenses.Scanner()
+    for raw in ("under the mpl license", "under the nist license", "creative commons attribution commercial", "creative commons attribution comercial", "cc by nd"):
+        assert s.scan(raw).near == [], raw
+    assert [x[0] for x in s.scan("creative commons attribution non commercial").near] == ["cc-by-nc"]
