@@ -6,8 +6,11 @@ n(c, t) of them t, cf(t) occurrences of t and T of all terms in the corpus,
 
     PMI(c; t) = log2( n(c, t) * T / (n(c) * cf(t)) )      IC(c) = log2( T / n(c) )
 
-and the disclosure PMI / IC is 1 for a term that occurs only beside c. In those contexts terms at
-or above REMOVE_AT are removed and those at or above GENERALISE_AT are replaced by their class.
+and the disclosure PMI / IC is 1 for a term that occurs only beside c. What may be chance doesn't count: of cf(t)
+occurrences, each beside c with probability p = n(c) / T, so many stand there with a probability of at most
+exp(-cf(t) * KL(n(c, t) / cf(t) || p)) (Chernoff), which must not be over CHANCE divided by the number of pairs.
+Wherever they stand in any text, terms at or above REMOVE_AT are removed and those at or above GENERALISE_AT
+are generalised.
 
 Defined results: a null or empty text has no findings (zero counts, the digest of the empty string,
 empty spans); repeated rows give repeated results; a null doc_id is kept; an empty table gives an
@@ -16,6 +19,8 @@ empty result; extra columns of the input pass through sanitise() and are ignored
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +39,11 @@ TERM_KINDS = ("term_removed", "term_generalised")
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Code points on either side of a finding that count as its context.
 CONTEXT = 64
-#: A term's co-occurrence estimate needs so many sightings beside the class.
-SUPPORT = 5
+#: The probability that any term at all is taken for a disclosing one by chance.
+CHANCE = 0.05
 GENERALISE_AT, REMOVE_AT = 0.85, 0.95
-TERM = r"[\p{L}\p{N}]+"
+TERM, NO_TERM = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
+NO_TERMS = "cast(array() as array<struct<k:int,s:int,e:int>>)"
 #: The type of an array of spans with their text.
 NO_SPANS = "array<struct<s:int,e:int,m:string>>"
 
@@ -126,8 +132,8 @@ def findings(docs: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """term, cf: occurrences of every term in all whole texts."""
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")).alias("term"))
-    return words.filter("term != ''").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), NO_TERM)).alias("word"))
+    return words.filter("word != ''").select(F.lower("word").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -138,26 +144,46 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     per_kind = {r["kind"]: r["n"] for r in pairs.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # four rows at most
     total = counts.agg(F.sum("cf").alias("t")).first()["t"] or 0
     n_kind = F.element_at(F.create_map(*[F.lit(x) for k in range(len(KINDS)) for x in (k, per_kind.get(k, 1))]), F.col("kind"))
-    joined = pairs.filter(F.col("n") >= SUPPORT).join(counts, "term")
+    tests = pairs.count()
+    joined = pairs.join(counts, "term")
     pmi = F.log2(F.col("n") * F.lit(float(total)) / (n_kind * F.col("cf")))
     ic = F.log2(F.lit(float(max(total, 2))) / F.least(n_kind, F.lit(max(total, 2) - 1)))
-    return joined.select("kind", "term", (pmi / ic).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE_AT)
+    # an occurrence between two findings counts for both, so n may be over cf
+    q, p = F.least(F.lit(1.0), F.col("n") / F.col("cf")), F.least(n_kind, F.lit(max(total, 2) - 1)) / F.lit(float(max(total, 2)))
+    kl = q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    sure = (q > p) & (F.col("cf") * kl >= math.log(max(tests, 1) / CHANCE))
+    return joined.filter(sure).select("kind", "term", (pmi / ic).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE_AT)
+
+
+def term_places(docs: DataFrame, strong: DataFrame) -> DataFrame:
+    """d, h, terms: every occurrence of the strong terms (term, k) in each whole text that has any."""
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
+    words = texts.select("d", "h", F.explode(F.array_distinct(F.split("text", NO_TERM))).alias("word")).filter("word != ''")
+    of = lambda k: F.collect_set(F.when(F.col("k") == k, F.col("word"))).alias(f"w{k}")
+    hits = words.join(strong, F.lower("word") == F.col("term")).groupBy(F.col("d").alias("hd"), F.col("h").alias("hh")).agg(of(0), of(1))
+    found = texts.join(hits, F.col("d").eqNullSafe(F.col("hd")) & (F.col("h") == F.col("hh")))
+    places = []
+    for k in range(len(TERM_KINDS)):
+        # letters and digits only, so nothing to escape
+        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(f"w{k}", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+        runs = placed(F.regexp_extract_all("text", pattern, F.lit(0)), F.split("text", pattern, -1))
+        some = F.transform(runs, lambda x, k=k: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+        places.append(F.when(F.size(f"w{k}") > 0, some).otherwise(F.expr(NO_TERMS)))
+    return found.select("d", "h", F.array_sort(F.concat(*places)).alias("terms")).dropDuplicates(["d", "h"])
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_hash, an array per kind, and the method's terms as
     array<struct<kind, s, e>> in ``terms`` (kind indexes TERM_KINDS)."""
     found = stored(findings(docs), "pii-found")
-    strong = stored(disclosing_terms(docs, found), "pii-strong")
-    here = found.filter(F.size("context") > 0).select("doc_id", "text_hash", F.explode("context").alias("x")).select("doc_id", "text_hash", "x.*")
-    hits = here.join(strong, ["kind", "term"]).select("doc_id", "text_hash", F.struct("s", "e").alias("at"), F.when(F.col("disclosure") >= REMOVE_AT, 0).otherwise(1).alias("k"))
-    hits = hits.groupBy("doc_id", "text_hash", "at").agg(F.min("k").alias("k"))
-    terms = hits.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.array_sort(F.collect_list(F.struct("k", F.col("at.s").alias("s"), F.col("at.e").alias("e")))).alias("terms"))
+    kind = F.when(F.max("disclosure") >= REMOVE_AT, 0).otherwise(1).alias("k")
+    strong = stored(disclosing_terms(docs, found).groupBy("term").agg(kind), "pii-strong")
+    terms = term_places(docs, strong)
     base = found.select("doc_id", "text_hash", *KINDS)
-    none = F.expr("cast(array() as array<struct<k:int,s:int,e:int>>)")
     out = base.join(terms, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     covered = F.concat(*KINDS)  # a term inside a finding is masked already
-    outside = F.filter(F.coalesce("terms", none), lambda t: ~F.exists(covered, lambda b: (t["s"] < b["e"]) & (b["s"] < t["e"])))
+    outside = F.filter(F.coalesce("terms", F.expr(NO_TERMS)), lambda t: ~F.exists(covered, lambda b: (t["s"] < b["e"]) & (b["s"] < t["e"])))
     return out.select("doc_id", "text_hash", *KINDS, outside.alias("terms"))
 
 

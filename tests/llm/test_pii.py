@@ -81,3 +81,18 @@ def test_matches_plain_python_on_random_strings(spark):
     alphabets = ["ab1.@-_ ", "0123456789. ", "0123456789 -", "+12() .-3x", "aé@.1+ \U0001f600\n"]
     rows = [(i, "".join(rng.choice(alphabets[i % 5]) for _ in range(rng.randrange(60)))) for i in range(3000)]
     check(spark, rows)
+
+
+def test_strong_terms_are_masked_in_all_texts_and_rare_ones_count(spark):
+    filler = "lorem ipsum dolor sit amet " * 60
+    rows = [(i, filler + f" Badge me at u{i}@corp.example.com " + filler) for i in range(60)]
+    rows += [(100 + i, filler + f" zorro me at v{i}@corp.example.com, " + filler) for i in range(4)]
+    rows += [(200, filler + " the BADGE, a badger; badge\n" + filler), (201, "u1@corp.example.com " + filler + " badge " + filler), (202, filler + " once me at w@corp.example.com " + filler)]
+    rows += [(300 + i, filler + " me at") for i in range(200)]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    before, got = dict(rows), {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    for i in (3, 200, 201):
+        assert not re.search(r"(?i)\bbadge\b", got[i]), i
+    assert "a badger;" in got[200] and got[300] == before[300]
+    assert all("zorro" not in got[100 + i] for i in range(4))
+    assert "once" in got[202]
