@@ -5,7 +5,9 @@ output shard draws how many of its slots each source fills (multinomial, seeded
 k-th slot that a source fills takes block perm(k mod n) of its n blocks, perm being the source's
 pseudorandom permutation; slots and blocks are then joined by source and block index. Draws beyond a
 source's quota go to the sources that were drawn too rarely, so quotas are met exactly, and no quota
-is above 3 times a source's blocks, so no block is taken more than 3 times.
+is above 3 times a source's blocks, so no block is taken more than 3 times. A quota is the least number
+of slots that hold the words of the target; the source's last slot is cut to what is wanted of it, so
+every source gives its target's words, rounded.
 
 Defined results: null texts have size 0 and take nothing; null sources form one source, last in
 order; repeated rows are taken each by itself; an empty table gives an empty result; extra columns
@@ -60,6 +62,8 @@ class Sources:
     targets: list[float]
     blocks: list[int]
     quotas: list[int]
+    #: Words that a source's last slot takes of its block.
+    keeps: list[int]
 
     @classmethod
     def of(cls, sized: DataFrame) -> Sources:
@@ -68,26 +72,50 @@ class Sources:
         sizes = [int(r["n"] or 0) for r in rows]
         goal = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))])
         blocks = [-(-n // BLOCK) for n in sizes]
-        quotas = [min(round(t / BLOCK), MOST * b) for t, b in zip(goal, blocks)]
-        return cls([r["source"] for r in rows], sizes, goal, blocks, quotas)
+        out = cls([r["source"] for r in rows], sizes, goal, blocks, [], [])
+        for i in range(len(rows)):
+            quota, keep = out.slots_for(i, round(goal[i]))
+            out.quotas.append(quota)
+            out.keeps.append(keep)
+        return out
+
+    def slots_for(self, i: int, words: int) -> tuple[int, int]:
+        """The least slots of source i that hold so many words, and what the last of them takes of its block."""
+        n, b = self.sizes[i], self.blocks[i]
+        if not words:
+            return 0, BLOCK
+        rounds, rest = divmod(words, n)
+        if not rest:
+            return rounds * b, BLOCK
+        lack = b * BLOCK - n  # of the source's last block, which comes at this place:
+        last = int(permute(np.array([b - 1]), b, self.key(i), back=True)[0])
+        k = -(-rest // BLOCK)
+        if k <= last:
+            return rounds * b + k, rest - (k - 1) * BLOCK
+        k = -(-(rest + lack) // BLOCK)
+        return rounds * b + k, rest - (k - 1) * BLOCK + (lack if k - 1 > last else 0)
 
     def key(self, i: int) -> int:
         name = self.names[i]
         return int.from_bytes(hashlib.blake2b(b"\0" if name is None else b"\1" + name.encode(), digest_size=8, key=str(SEED).encode()).digest(), "little")
 
 
-def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A pseudorandom permutation of 0 .. n - 1 (four Feistel rounds, walking back into range)."""
+def permute(x: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of 0 .. n - 1 (four Feistel rounds, walking back into range), or its inverse."""
     half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
     out = x.astype(np.uint64)
     todo = np.ones(len(out), bool)
     while todo.any():
         left, right = out[todo] >> np.uint64(half), out[todo] & mask
-        for r in range(4):
+        if back:
+            left, right = right, left
+        for r in (3, 2, 1, 0) if back else range(4):
             mixed = (right + np.uint64((key + r * 0x9E3779B97F4A7C15) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
             mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
             left, right = right, left ^ ((mixed ^ (mixed >> np.uint64(29))) & mask)
+        if back:
+            left, right = right, left
         out[todo] = (left << np.uint64(half)) | right
         todo = out >= n
     return out.astype(np.int64)
@@ -99,7 +127,7 @@ def numbered(docs: DataFrame, *keep: str | Column) -> DataFrame:
 
 
 def pieces(rows: DataFrame, sources: Sources, n_rows: int) -> DataFrame:
-    """__row, src, block, from, words: the part of each block that each document fills; a row with no words has no block.
+    """__row, src, block, from, words, at: the part of each block that each document fills, and its place there; a row with no words has no block.
 
     Offsets come from a scan in three levels: coarse buckets, buckets of about BUCKET rows, then within a bucket."""
     src = F.lit(0)
@@ -113,12 +141,12 @@ def pieces(rows: DataFrame, sources: Sources, n_rows: int) -> DataFrame:
     blocks = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}")))
     cut = at.select("__row", "doc_id", "source", "size", "src", "start", F.explode_outer(blocks).alias("block"))
     first = F.greatest(F.col("start"), F.col("block") * BLOCK)
-    return cut.select("__row", "doc_id", "source", "size", "src", "block", (first - F.col("start")).alias("from"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - first).alias("words"))
+    return cut.select("__row", "doc_id", "source", "size", "src", "block", (first - F.col("start")).alias("from"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - first).alias("words"), (first - F.col("block") * BLOCK).alias("at"))
 
 
 def slots(spark, sources: Sources) -> DataFrame:
-    """shard, src, k, block: every slot of the mix."""
-    quota = np.array(sources.quotas, np.int64)
+    """shard, src, k, block, keep: every slot of the mix, and how many words of the block it takes at most."""
+    quota, keeps = np.array(sources.quotas, np.int64), np.array(sources.keeps, np.int64)
     total = int(quota.sum())
     n_shards = -(-total // SHARD)
 
@@ -138,7 +166,7 @@ def slots(spark, sources: Sources) -> DataFrame:
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
-        rows = lambda: pd.DataFrame(np.concatenate(held, axis=1).T, columns=["shard", "src", "k", "block"])
+        rows = lambda: pd.DataFrame(np.concatenate(held, axis=1).T, columns=["shard", "src", "k", "block", "keep"])
         for b in batches:
             for shard, src, start, n in zip(b["shard"], b["src"], b["start"], b["n"]):
                 k = np.arange(start, start + n)
@@ -151,7 +179,7 @@ def slots(spark, sources: Sources) -> DataFrame:
                 block = np.empty(n, np.int64)
                 for s in np.unique(of):
                     block[of == s] = permute(k[of == s] % n_blocks[s], n_blocks[s], keys[s])
-                held.append(np.stack([np.full(n, shard), of, k, block]))
+                held.append(np.stack([np.full(n, shard), of, k, block, np.where(k == quota[of] - 1, keeps[of], BLOCK)]))
                 if len(held) == FILLS:
                     yield rows()
                     held.clear()
@@ -161,14 +189,21 @@ def slots(spark, sources: Sources) -> DataFrame:
     started = running_sum(drawn, ["src"], [["run"]], ["shard"], "n", "start")
     # few rows make many slots, so the number of tasks follows the slots
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SLOTS_A_TASK)
-    return started.select("shard", "src", "start", "n").filter("n > 0").repartition(tasks, "shard").mapInPandas(fill, "shard long, src int, k long, block long")
+    return started.select("shard", "src", "start", "n").filter("n > 0").repartition(tasks, "shard").mapInPandas(fill, "shard long, src int, k long, block long, keep long")
 
 
 def _joined(rows: DataFrame) -> tuple[DataFrame, Sources]:
     sources = Sources.of(rows.select("source", F.col("__size").alias("size")))
     parts = pieces(rows, sources, rows.count())
-    uses = slots(rows.sparkSession, sources).groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
-    return parts.join(uses.hint("merge"), ["src", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0))), sources
+    uses = slots(rows.sparkSession, sources).groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"), F.min("keep").alias("keep"))
+    joined = parts.join(uses.hint("merge"), ["src", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    # where one of the uses is cut, what it takes and the rest are parts of their own
+    kept = F.greatest(F.lit(0), F.least("words", F.col("keep") - F.col("at")))
+    part = lambda begin, words, n: F.struct(begin.cast("long").alias("from"), words.cast("long").alias("words"), n.cast("long").alias("uses"))
+    whole = part(F.col("from"), F.col("words"), F.col("uses"))
+    cut = F.array(part(F.col("from"), kept, F.col("uses")), part(F.col("from") + kept, F.col("words") - kept, F.col("uses") - 1))
+    each = F.explode(F.when(F.col("keep") < BLOCK, cut).otherwise(F.array(whole))).alias("__part")
+    return joined.select("__row", "doc_id", "source", "size", "src", "block", each).select("__row", "doc_id", "source", "size", "src", "block", "__part.*"), sources
 
 
 def takes(docs: DataFrame) -> DataFrame:
@@ -185,7 +220,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     rows = numbered(docs, *columns)
     joined, _ = _joined(rows)
-    parts = joined.filter("uses > 0").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("from", "words", "uses"))).alias("__parts"))
+    parts = joined.filter("uses > 0 AND words > 0").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("from", "words", "uses"))).alias("__parts"))
     cut = re.compile(WORD)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -71,3 +71,29 @@ def test_empty(spark):
     assert mixing.takes(docs).count() == 0 and mixing.mixed(docs).count() == 0
     nothing = spark.createDataFrame([(1, None, None, None, None, None)], SCHEMA)
     assert [(r.size, r.taken, r.target) for r in mixing.takes(nothing).collect()] == [(0, 0, 0.0)]
+
+
+def test_inverse_permutation():
+    for n in (1, 2, 3, 64, 1000):
+        x = np.arange(n)
+        assert (mixing.permute(mixing.permute(x, n, 77), n, 77, back=True) == x).all()
+
+
+def test_small_sources_meet_their_targets_in_words(spark):
+    sizes = {"a": 5000, "b": 200, "c": 70, "d": 30, "e": 10, "f": 1, "g": 777, None: 10}
+    rows, i = [], 0
+    for s, n in sizes.items():
+        while n:
+            m = min(n, 23)
+            rows.append((i, " ".join(f"w{j}" for j in range(m)), "en", s, 0, None))
+            i, n = i + 1, n - m
+    for some in (rows, [r for r in rows if r[3] in ("b", "d", "g")]):
+        docs, of = spark.createDataFrame(some, SCHEMA), {r[0]: r[3] for r in some}
+        taken, goal, texts = defaultdict(int), {}, defaultdict(int)
+        for r in mixing.takes(docs).collect():
+            taken[of[r.doc_id]] += r.taken
+            goal[of[r.doc_id]] = r.target
+            assert 0 <= r.taken <= 3 * r.size
+        for r in mixing.mixed(docs).collect():
+            texts[of[r.doc_id]] += len(r.text.split())
+        assert dict(taken) == {s: round(t) for s, t in goal.items()} == dict(texts)
