@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, text_batches
+from .common import cut, stored, text_batches
 
 SCALE, TOP, EVERY = 64, 20, 20
 PIVOTS_LEAST, PIVOTS_MOST, ROWS_A_PIVOT, RINGS = 4, 64, 4096, 8
@@ -103,7 +103,7 @@ def _visits(queries: DataFrame, index: Index, dim: int, first: bool) -> DataFram
     First the FIRST most promising annuli; then the others that can reach a query's k-th score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, QUERIES):
             q = matrix(b.column(2), dim)
             best = index.best_scores(q)
             early = np.zeros(best.shape, bool)
@@ -126,7 +126,7 @@ def _visited(blocks: DataFrame, visits: DataFrame, dim: int, top: int) -> DataFr
     """q_row, query_id, vec_id, score: of each block that a query visits, its best rows that reach the query's least score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, 16):
             out: list[list[np.ndarray]] = [[], [], [], []]
             for v_rows, v_ids, v, q_rows, q_ids, q, least in zip(*[b.column(i) for i in range(7)]):
                 v_rows, v_ids = (x.values.to_numpy(zero_copy_only=False) for x in (v_rows, v_ids))
@@ -154,6 +154,7 @@ def _ranked(found: DataFrame, top: int) -> DataFrame:
 def search(table: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose vec_id is divisible by ``every``, against all other rows."""
     spark = table.sparkSession
+    text_batches(spark)
     v = vectors(table)
     seen = v.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("most"), F.max(F.size("v")).alias("dim")).first()
     n, most, dim = seen["n"], float(seen["most"] or 0), max(1, seen["dim"] or 1)
@@ -163,12 +164,11 @@ def search(table: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
     index = Index(np.array(pivots), most)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, 4096):
             m = matrix(b.column(2), dim)
             pivot, d = index.from_vectors(m)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(pivot, pa.int64()), pa.array(d)], ["__row", "vec_id", "v", "pivot", "distance"])
 
-    text_batches(spark, 4096)
     keyed = stored(v.select("__row", "vec_id", "v").mapInArrow(key, "__row long, vec_id long, v array<double>, pivot long, distance double"), "top-keyed")
     cuts = keyed.groupBy("pivot").agg(F.percentile_approx("distance", [i / RINGS for i in range(1, RINGS)], 1000).alias("cuts")).collect()  # a row per pivot
     by_pivot = {r["pivot"]: r["cuts"] for r in cuts}
@@ -183,27 +183,22 @@ def search(table: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
     grouped = placed.groupBy("annulus", "part").agg(F.collect_list(F.struct("__row", "vec_id", "v")).alias("x"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, 64):
             x = b.column(1)
             offsets, inner = np.array(x.offsets) - x.offsets[0].as_py(), x.flatten()
             m = matrix(inner.field(2), dim)
             take = lambda f: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), f)
             yield pa.RecordBatch.from_arrays([b.column(0), take(inner.field(0)), take(inner.field(1)), pa.array([m[i:j].tobytes() for i, j in zip(offsets, offsets[1:])], pa.binary()), b.column(2)], ["annulus", "__row", "vec_id", "v", "share"])
 
-    text_batches(spark, 64)
     # an annulus of many blocks is dealt out in shares, and a visit goes to each of them
     shares = F.ceil(n_parts / SHARE).cast("int")
     packed = grouped.select("annulus", "x", (F.col("part") % shares).cast("int").alias("share")).mapInArrow(pack, "annulus long, __row array<long>, vec_id array<long>, v binary, share int")
     blocks = stored(packed, "top-blocks")
     spread = lambda visits: visits.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
     queries = v.filter(F.col("vec_id") % every == 0)
-    text_batches(spark, QUERIES)
     early = stored(_visits(queries, index, dim, True), "top-visits")
-    text_batches(spark, 16)
     first = stored(_ranked(_visited(blocks, spread(early), dim, top), top).drop("rank"), "top-first")
     kth = first.groupBy("q_row").agg(F.when(F.count(F.lit(1)) >= top, F.min("score").cast("double")).alias("least"))
     with_least = queries.join(kth, queries["__row"] == kth["q_row"], "left").select("__row", "vec_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
-    text_batches(spark, QUERIES)
     late = stored(_visits(with_least, index, dim, False), "top-visits")
-    text_batches(spark, 16)
     return _ranked(first.unionByName(_visited(blocks, spread(late), dim, top)), top).select("query_id", "rank", "vec_id", "score")

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_batches
+from .common import cut, text_batches
 
 #: Fixed pattern of the vocabulary's pre-tokenizer; white space is Unicode's property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -289,14 +289,14 @@ def shared_vocabulary(docs: DataFrame, path: str | None):
 
 
 def _over_texts(docs: DataFrame, path: str | None, schema: str, form: Callable, make: Callable):
-    text_batches(docs.sparkSession, ROWS)
+    text_batches(docs.sparkSession)
     vocabulary = shared_vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary.value, form)
         gc.disable()  # nothing here is cyclic, and collections would walk all learnt words again and again
         try:
-            for b in batches:
+            for b in cut(batches, ROWS):
                 texts = b.column(1).to_pylist()
                 known = e.batch(texts)
                 split = [next(known) for _ in texts]
@@ -324,7 +324,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary.value)
-        for b in batches:
+        for b in cut(batches):
             texts = [None if ids is None else e.decode(ids) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 

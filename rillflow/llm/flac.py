@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import cut, text_batches
 
 PAD, BLOCK, RATE = 64, 1024, 8000
 #: Bits of a quantised coefficient and their binary point.
@@ -335,10 +335,10 @@ def _id_type(df: DataFrame) -> str:
 
 def encoded(docs: DataFrame) -> DataFrame:
     """doc_id, flac: the texts as FLAC streams."""
-    text_batches(docs.sparkSession, ROWS)
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, ROWS):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encode([payload_of(t) for t in b.column(1).to_pylist()]), pa.binary())], ["doc_id", "flac"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {_id_type(docs)}, flac binary")
@@ -348,10 +348,10 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     """doc_id, block, first_sample, samples, byte_offset, pcm: the decoded blocks of doc_id, flac.
 
     first_sample and byte_offset are the seek point of the block's frame in the stream."""
-    text_batches(media.sparkSession, ROWS)
+    text_batches(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, ROWS):
             rows = [(d, j, s, n, o, payload[s : s + n]) for d, (payload, at) in zip(b.column(0).to_pylist(), decode(b.column(1).to_pylist())) for j, (s, o, n) in enumerate(at)]
             columns = list(zip(*rows)) or [[]] * 6
             kinds = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
@@ -362,12 +362,12 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """The texts stored as FLAC and read back: sizes, digests and features."""
-    text_batches(docs.sparkSession, ROWS)
+    text_batches(docs.sparkSession)
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, ROWS):
             texts = b.column(1).to_pylist()
             media = encode([payload_of(t) for t in texts])
             rows = [(len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), features(p)) for t, m, (p, _) in zip(texts, media, decode(media))]

@@ -1,7 +1,8 @@
 """Licence notices in texts: exact phrases, and near ones by seeds and bounded-error matching.
 
 A notice within k edits of a phrase holds one of the phrase's k + 1 pieces unchanged (pigeonhole), so
-exact finds of the pieces locate all candidates. In the windows around them the regex library matches
+exact finds of the pieces locate all candidates. A window around them that lacks over k of the phrase's characters
+holds no such notice; in the others the regex library matches
 the phrase with at most k errors, wherever they stand, and a match counts unless a rival of the notice
 (the phrase with another word in place of its key word) is nearer. Texts are compared as words: ASCII letters in lower case, joined by single spaces.
 
@@ -11,15 +12,17 @@ repeated rows repeat; an empty table gives an empty result; extra columns are ig
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import cut, text_batches
 
 #: Phrases that count wherever their words stand consecutively.
 BASE = {
@@ -57,6 +60,8 @@ class Notice:
     label: str
     errors: int
     seeds: tuple[tuple[int, bytes], ...]
+    #: The phrase's characters and how often they stand in it.
+    letters: tuple[tuple[bytes, int], ...]
     pattern: regex.Pattern
 
 
@@ -66,7 +71,7 @@ def notice(phrase: str, key: str, label: str) -> Notice:
     seeds = tuple((a, raw[a:b]) for a, b in zip(cuts, cuts[1:]))
     others = [regex.escape(phrase.replace(key, r).encode()) for r in RIVALS.get(key, ())]
     rivals = tuple(regex.compile(b"|".join(b"(?:%s){e<=%d}" % (o, e) for o in others)) if others else None for e in range(errors))
-    return Notice(raw, rivals, label, errors, seeds, regex.compile(b"(?e)(?:" + regex.escape(raw) + b"){e<=%d}" % errors))
+    return Notice(raw, rivals, label, errors, seeds, tuple((bytes([c]), n) for c, n in Counter(raw).items()), regex.compile(b"(?e)(?:" + regex.escape(raw) + b"){e<=%d}" % errors))
 
 
 def places(line: bytes, what: bytes) -> Iterator[int]:
@@ -94,7 +99,9 @@ class Scanner:
         spans = []
         for offset, seed in n.seeds:
             for at in places(line, seed):
-                spans.append((max(0, at - offset - n.errors), min(len(line), at - offset + len(n.phrase) + n.errors)))
+                a, b = max(0, at - offset - n.errors), min(len(line), at - offset + len(n.phrase) + n.errors)
+                if sum(max(0, m - line.count(c, a, b)) for c, m in n.letters) <= n.errors:
+                    spans.append((a, b))
         spans.sort()
         out: list[tuple[int, int]] = []
         for a, b in spans:
@@ -107,7 +114,9 @@ class Scanner:
     def scan(self, text: str | None) -> Scan:
         words = (text or "").encode().translate(WORDS).split()
         line = b" " + b" ".join(words) + b" "
-        base = sorted((line.count(b" ", 0, at), label) for phrase, label in BASE.items() for at in places(line, b" " + phrase.encode() + b" "))
+        spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        before = lambda at: int(np.searchsorted(spaces, at))  # noqa: E731  spaces before a place
+        base = sorted((before(at), label) for phrase, label in BASE.items() for at in places(line, b" " + phrase.encode() + b" "))
         near, score = [], 1.0 if base else 0.0
         for n in self.notices:
             for a, b in self.windows(line, n):
@@ -116,7 +125,7 @@ class Scanner:
                     if edits and n.rivals[edits - 1] and n.rivals[edits - 1].search(line, max(0, m.start() - n.errors), m.end() + n.errors):
                         continue
                     begin, end = m.start() + (m[0][:1] == b" "), m.end() - (m[0][-1:] == b" ")
-                    near.append((n.label, line.count(b" ", 0, begin) - 1, line.count(b" ", 0, end) - 1, edits))
+                    near.append((n.label, before(begin) - 1, before(end) - 1, edits))
                     score = max(score, 1 - edits / len(n.phrase))
         return Scan(len(words), base, sorted(set(near)), score)
 
@@ -129,7 +138,7 @@ def spans(docs: DataFrame) -> DataFrame:
         s = Scanner()
         base_kind = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
         near_kind = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int32())]))
-        for b in batches:
+        for b in cut(batches):
             found = [s.scan(t) for t in b.column(1).to_pylist()]
             base = [[{"word": w, "label": x} for w, x in f.base] for f in found]
             near = [[dict(zip(("label", "first_word", "last_word", "edits"), n)) for n in f.near] for f in found]

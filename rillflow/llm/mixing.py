@@ -10,9 +10,10 @@ of slots that hold the words of the target; the source's last slot is cut to wha
 every source gives its target's words, rounded.
 
 Defined results: null texts have size 0 and take nothing; null sources form one source, last in
-order; repeated rows are taken each by itself; an empty table gives an empty result; extra columns
-are ignored by takes() and kept by mixed(). Reruns agree, whatever the partitions.
-The sources (names and sizes, a row for each) are held on the driver; rows of text never are.
+order; repeated rows are taken each by itself; an empty table gives an empty result; extra columns, whatever
+their names and types, are ignored by takes() and kept by mixed(). Reruns agree, whatever the partitions.
+The sources (names and sizes, some hundred bytes for each) are held on the driver and joined as a table; rows of
+text never are.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_bits, running_sum, stored, text_batches
+from .common import bucketed, cut, running_sum, sized_broadcast, stored, text_batches, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -99,6 +100,11 @@ class Sources:
         name = self.names[i]
         return int.from_bytes(hashlib.blake2b(b"\0" if name is None else b"\1" + name.encode(), digest_size=8, key=str(SEED).encode()).digest(), "little")
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """source, src, source_size, target: a row for each."""
+        kind = "name string, src int, source_size long, target double"
+        return stored(spark.createDataFrame([(n, i, s, float(t)) for i, (n, s, t) in enumerate(zip(self.names, self.sizes, self.targets))], kind), "mix-sources")
+
 
 def permute(x: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
     """A pseudorandom permutation of 0 .. n - 1 (four Feistel rounds, walking back into range), or its inverse."""
@@ -122,56 +128,56 @@ def permute(x: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
 
 
 def numbered(docs: DataFrame, *keep: str | Column) -> DataFrame:
-    """The documents with a row id, fixed by storing them, a size, and an order that doesn't hang on partitions."""
-    return stored(docs.select(F.monotonically_increasing_id().alias("__row"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("__size"), F.xxhash64("doc_id", "text").alias("__order"), *keep), "mix-rows")
-
-
-def pieces(rows: DataFrame, sources: Sources, n_rows: int) -> DataFrame:
-    """__row, src, block, from, words, at: the part of each block that each document fills, and its place there; a row with no words has no block.
-
-    Offsets come from a scan in three levels: coarse buckets, buckets of about BUCKET rows, then within a bucket."""
-    src = F.lit(0)
-    for i, name in enumerate(sources.names[1:], 1):
-        src = src + F.when(F.col("source").isNull() if name is None else F.col("source") >= name, 1).otherwise(0) if name is not None else src
-    if None in sources.names:
-        src = F.when(F.col("source").isNull(), len(sources.names) - 1).otherwise(src)
-    bucket, coarse = hash_bits("__order", 1, n_rows, BUCKET)
-    rows = rows.select("__row", "doc_id", "source", F.col("__size").alias("size"), src.alias("src"), "__order", bucket.alias("bucket"), coarse.alias("coarse"))
-    at = running_sum(rows, ["src"], [["coarse"], ["bucket"]], ["__order", "__row"], "size", "start")
+    """doc_id, source and ``keep`` with a row id, fixed by storing them, a size, and an order that doesn't hang on partitions."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return stored(docs.select(F.monotonically_increasing_id().alias("__row"), size.alias("size"), F.xxhash64("doc_id", "text").alias("__order"), "doc_id", F.col("source").cast("string").alias("source"), *keep), "mix-rows")
+
+
+def pieces(rows: DataFrame, sources: DataFrame, n_rows: int) -> DataFrame:
+    """__row, doc_id, size, src, source_size, target, block, from, words, at: the part of each block that each document
+    fills, and its place there; a row with no words has no block."""
+    of = rows.select("__row", "doc_id", "source", "size", "__order").join(sized_broadcast(sources), F.col("source").eqNullSafe(F.col("name"))).drop("source", "name")
+    of, levels = bucketed(of, 1, n_rows, BUCKET)
+    at = running_sum(of, ["src"], levels, ["__order", "__row"], "size", "start")
     blocks = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}")))
-    cut = at.select("__row", "doc_id", "source", "size", "src", "start", F.explode_outer(blocks).alias("block"))
+    known = ["__row", "doc_id", "size", "src", "source_size", "target"]
+    parts = at.select(*known, "start", F.explode_outer(blocks).alias("block"))
     first = F.greatest(F.col("start"), F.col("block") * BLOCK)
-    return cut.select("__row", "doc_id", "source", "size", "src", "block", (first - F.col("start")).alias("from"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - first).alias("words"), (first - F.col("block") * BLOCK).alias("at"))
+    return parts.select(*known, "block", (first - F.col("start")).alias("from"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - first).alias("words"), (first - F.col("block") * BLOCK).alias("at"))
 
 
-def slots(spark, sources: Sources) -> DataFrame:
+def slots(spark: SparkSession, sources: Sources) -> DataFrame:
     """shard, src, k, block, keep: every slot of the mix, and how many words of the block it takes at most."""
     quota, keeps = np.array(sources.quotas, np.int64), np.array(sources.keeps, np.int64)
     total = int(quota.sum())
     n_shards = -(-total // SHARD)
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def table(rows: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+        whole = np.concatenate(rows, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in whole], names)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard in b["id"]:
-                rng = np.random.default_rng([SEED, int(shard)])
-                n = rng.multinomial(min(SHARD, total - int(shard) * SHARD), quota / total)
-                yield pd.DataFrame({"shard": int(shard), "src": np.arange(len(n)), "n": n})
+            for shard in b.column(0).to_pylist():
+                n = np.random.default_rng([SEED, shard]).multinomial(min(SHARD, total - shard * SHARD), quota / total)
+                some = np.flatnonzero(n)
+                yield table([np.stack([np.full(len(some), shard), some, n[some]])], ["shard", "src", "n"])
 
-    drawn = stored(spark.range(n_shards).mapInPandas(draw, "shard long, src int, n long").withColumn("run", F.expr(f"shard div {RUN}")), "mix-draws")
+    drawn = stored(spark.range(n_shards).mapInArrow(draw, "shard long, src long, n long").withColumn("run", F.expr(f"shard div {RUN}")), "mix-draws")
     per_source = {r["src"]: r["n"] for r in drawn.groupBy("src").agg(F.sum("n").alias("n")).collect()} if n_shards else {}
     got = np.array([per_source.get(i, 0) for i in range(len(quota))], np.int64)
     over, short = np.maximum(got - quota, 0), np.maximum(quota - got, 0)
     over_at, short_at = np.cumsum(over) - over, np.cumsum(short)
     n_blocks, keys = sources.blocks, [sources.key(i) for i in range(len(quota))]
+    names = ["shard", "src", "k", "block", "keep"]
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        rows = lambda: pd.DataFrame(np.concatenate(held, axis=1).T, columns=["shard", "src", "k", "block", "keep"])
         for b in batches:
-            for shard, src, start, n in zip(b["shard"], b["src"], b["start"], b["n"]):
+            for shard, src, start, n in zip(*(c.to_pylist() for c in b.columns)):
                 k = np.arange(start, start + n)
                 of = np.full(n, src)
-                if n and k[-1] >= quota[src]:  # beyond the quota: the next place of a source that is short
+                if k[-1] >= quota[src]:  # beyond the quota: the next place of a source that is short
                     late = k >= quota[src]
                     u = k[late] - quota[src] + over_at[src]
                     of[late] = np.searchsorted(short_at, u, side="right")
@@ -181,68 +187,70 @@ def slots(spark, sources: Sources) -> DataFrame:
                     block[of == s] = permute(k[of == s] % n_blocks[s], n_blocks[s], keys[s])
                 held.append(np.stack([np.full(n, shard), of, k, block, np.where(k == quota[of] - 1, keeps[of], BLOCK)]))
                 if len(held) == FILLS:
-                    yield rows()
+                    yield table(held, names)
                     held.clear()
         if held:
-            yield rows()
+            yield table(held, names)
 
     started = running_sum(drawn, ["src"], [["run"]], ["shard"], "n", "start")
     # few rows make many slots, so the number of tasks follows the slots
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SLOTS_A_TASK)
-    return started.select("shard", "src", "start", "n").filter("n > 0").repartition(tasks, "shard").mapInPandas(fill, "shard long, src int, k long, block long, keep long")
+    return started.select("shard", "src", "start", "n").repartition(tasks, "shard").mapInArrow(fill, "shard long, src long, k long, block long, keep long")
 
 
-def _joined(rows: DataFrame) -> tuple[DataFrame, Sources]:
-    sources = Sources.of(rows.select("source", F.col("__size").alias("size")))
-    parts = pieces(rows, sources, rows.count())
-    uses = slots(rows.sparkSession, sources).groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"), F.min("keep").alias("keep"))
+def _joined(rows: DataFrame) -> DataFrame:
+    spark = rows.sparkSession
+    sources = Sources.of(rows.select("source", "size"))
+    parts = pieces(rows, sources.table(spark), rows.count())
+    uses = slots(spark, sources).groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"), F.min("keep").alias("keep"))
     joined = parts.join(uses.hint("merge"), ["src", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
     # where one of the uses is cut, what it takes and the rest are parts of their own
     kept = F.greatest(F.lit(0), F.least("words", F.col("keep") - F.col("at")))
     part = lambda begin, words, n: F.struct(begin.cast("long").alias("from"), words.cast("long").alias("words"), n.cast("long").alias("uses"))
     whole = part(F.col("from"), F.col("words"), F.col("uses"))
-    cut = F.array(part(F.col("from"), kept, F.col("uses")), part(F.col("from") + kept, F.col("words") - kept, F.col("uses") - 1))
-    each = F.explode(F.when(F.col("keep") < BLOCK, cut).otherwise(F.array(whole))).alias("__part")
-    return joined.select("__row", "doc_id", "source", "size", "src", "block", each).select("__row", "doc_id", "source", "size", "src", "block", "__part.*"), sources
+    split = F.array(part(F.col("from"), kept, F.col("uses")), part(F.col("from") + kept, F.col("words") - kept, F.col("uses") - 1))
+    each = F.explode(F.when(F.col("keep") < BLOCK, split).otherwise(F.array(whole))).alias("part")
+    known = ["__row", "doc_id", "size", "source_size", "target"]
+    return joined.select(*known, each).select(*known, "part.*")
 
 
 def takes(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken: the words of each document that the mix takes, repeats counted."""
-    joined, sources = _joined(numbered(docs, "doc_id", "source"))
-    out = joined.groupBy("__row", "doc_id", "size", "src").agg(F.sum(F.coalesce("words", F.lit(0)) * F.col("uses")).alias("taken"))
-    pick = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values or [0]]), F.col("src") + 1)
-    return out.select("doc_id", "size", pick(sources.sizes, "long").alias("source_size"), pick(sources.targets, "double").alias("target"), F.col("taken").cast("long").alias("taken"))
+    text_batches(docs.sparkSession)
+    known = ["doc_id", "size", "source_size", "target"]
+    out = _joined(numbered(docs)).groupBy("__row", *known).agg(F.sum(F.coalesce("words", F.lit(0)) * F.col("uses")).cast("long").alias("taken"))
+    return out.select(*known, "taken")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix as documents: the e-th row of a document has its text in the blocks that are taken e times or more."""
     text_batches(docs.sparkSession)
-    columns = docs.columns
-    rows = numbered(docs, *columns)
-    joined, _ = _joined(rows)
-    parts = joined.filter("uses > 0 AND words > 0").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("from", "words", "uses"))).alias("__parts"))
-    cut = re.compile(WORD)
+    rows = numbered(docs, whole_row(docs, "__whole"))
+    parts = _joined(rows).filter("uses > 0 AND words > 0").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("from", "words", "uses"))).alias("parts"))
+    word, columns, text_at = re.compile(WORD), docs.columns, docs.columns.index("text")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut(batches):
+            own = b.column(0).flatten()  # all but the text stays as it came
             at, texts = [], []
-            for i, (text, size, taken) in enumerate(zip(b["text"], b["__size"], b["__parts"])):
+            for i, (text, size, taken) in enumerate(zip(own[text_at].to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())):
                 begins = None
                 for e in range(1, MOST + 1):
                     wanted = [(p["from"], p["from"] + p["words"]) for p in taken if p["uses"] >= e]
                     if not wanted:
                         break
+                    at.append(i)
                     if sum(y - x for x, y in wanted) == size:
-                        at.append(i)
                         texts.append(text)
                         continue
                     if begins is None:
-                        begins = [0, *[m.start() for m in cut.finditer(text)][1:], len(text)]
-                    at.append(i)
+                        begins = [0, *[m.start() for m in word.finditer(text)][1:], len(text)]
                     texts.append("".join(text[begins[x] : begins[y]] for x, y in wanted))
-            out = b.iloc[at][columns].copy()
-            out["text"] = texts
-            yield out
-
-    found = rows.join(parts, "__row").select(*columns, "__size", "__parts").mapInPandas(write, docs.schema)
-    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else found
+            out = [c.take(pa.array(at, pa.int64())) for c in own]
+            out[text_at] = pa.array(texts, own[text_at].type)
+            yield pa.RecordBatch.from_arrays(out, columns)
+
+    found = rows.join(parts, "__row").select("__whole", "size", "parts").mapInArrow(write, docs.schema)
+    if "n_chars" not in columns:
+        return found
+    return found.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])

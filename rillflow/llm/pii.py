@@ -1,30 +1,36 @@
 """Personal data: pattern findings plus information-theoretic sanitisation, in DataFrame functions only.
 
-Patterns find the protected entities (e-mail, IP, card and phone values). Corpus co-occurrence then
-estimates how strongly a term reveals an entity class c: with n(c) terms standing in contexts of c,
-n(c, t) of them t, cf(t) occurrences of t and T of all terms in the corpus,
+Patterns find the protected entities: every e-mail, IP, card and phone value is one, and so is each of the four
+classes as a whole. Corpus co-occurrence then estimates how strongly a term reveals an entity e. The context of
+a finding is the text on either side, CONTEXT code points at most and up to the next match of its pattern. With
+n(e) terms standing in contexts of e, n(e, t) of them t, cf(t) occurrences of t and T of all terms in the corpus,
 
-    PMI(c; t) = log2( n(c, t) * T / (n(c) * cf(t)) )      IC(c) = log2( T / n(c) )
+    PMI(e; t) = log2( n(e, t) * T / (n(e) * cf(t)) )      IC(e) = log2( T / n(e) )
 
-and the disclosure PMI / IC is 1 for a term that occurs only beside c. What may be chance doesn't count: of cf(t)
-occurrences, each beside c with probability p = n(c) / T, so many stand there with a probability of at most
-exp(-cf(t) * KL(n(c, t) / cf(t) || p)) (Chernoff), which must not be over CHANCE divided by the number of pairs.
-Wherever they stand in any text, terms at or above REMOVE_AT are removed and those at or above GENERALISE_AT
-are generalised.
+and the disclosure PMI / IC is 1 for a term that occurs only beside e. What may be chance doesn't count: of cf(t)
+occurrences, each beside e with probability p = n(e) / T, so many stand there with a probability of at most
+exp(-cf(t) * KL(n(e, t) / cf(t) || p)) (Chernoff), which must not be over CHANCE divided by the number of pairs.
+A term's disclosure is its highest. Wherever they stand in any text, terms at or above REMOVE_AT are removed and
+those at or above GENERALISE_AT become the class of the entity that they reveal most, as <class-term>.
+
+Spans and masks are functions of one text and of the terms that disclose, so texts don't cross the network; only
+where more than LISTED terms disclose are those of each text joined to it.
 
 Defined results: a null or empty text has no findings (zero counts, the digest of the empty string,
 empty spans); repeated rows give repeated results; a null doc_id is kept; an empty table gives an
-empty result; extra columns of the input pass through sanitise() and are ignored by findings().
+empty result; extra columns of the input, whatever their names, pass through sanitise() and are ignored by report().
+Work on a text is in proportion to its length, times a logarithm of its matches.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sized_broadcast, stored, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 #: A start inside a run that failed fails as well, so each run is tried once: linear on long runs.
@@ -42,22 +48,32 @@ CONTEXT = 64
 #: The probability that any term at all is taken for a disclosing one by chance.
 CHANCE = 0.05
 GENERALISE_AT, REMOVE_AT = 0.85, 0.95
+#: Disclosing terms that are written into the plan; more are joined.
+LISTED = 2000
+#: Code points in a piece of a text that is cut.
+PIECE = 1024
 TERM, NO_TERM = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
-NO_TERMS = "cast(array() as array<struct<k:int,s:int,e:int>>)"
-#: The type of an array of spans with their text.
-NO_SPANS = "array<struct<s:int,e:int,m:string>>"
+FINDING, SPAN, STRONG = "array<struct<s:int,e:int,m:string,l:string,r:string>>", "array<struct<s:int,e:int,k:int,l:string>>", "array<struct<term:string,k:int,kind:int>>"
 
 
-def placed(found: Column, gaps: Column) -> Column:
-    """array<struct<s, e, m>>: matches with code-point offsets, end exclusive, from the matches and the text between them."""
-    pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
+def _none(kind: str) -> Column:
+    return F.expr(f"cast(array() as {kind})")
+
 
-    def add(acc: Column, x: Column) -> Column:
-        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(0)) + F.length(x["g"])
-        return F.array_append(acc, F.struct(start.alias("s"), (start + F.length(x["m"])).alias("e"), x["m"].alias("m")))
+def scanned(values: Column, n: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """The running merge of an array of n values: by doubling, as appending one by one would copy the array each time."""
+    back = lambda j: F.call_function("shiftleft", F.lit(1), j)
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int"))
+    return F.aggregate(steps, values, lambda acc, j: F.transform(acc, lambda v, i: merge(v, F.get(acc, i - back(j)))))
 
-    none = F.expr(f"cast(array() as {NO_SPANS})")
-    return F.when(F.size(found) > 0, F.aggregate(pairs, none, add)).otherwise(none)
+
+def placed(found: Column, gaps: Column) -> Column:
+    """array<struct<s, e, m, l, r>>: matches with code-point offsets, end exclusive, and the text up to the neighbouring ones."""
+    n = F.size(found)
+    ends = scanned(F.zip_with(found, F.slice(gaps, F.lit(1), n), lambda m, g: F.length(m) + F.length(g)), n, lambda v, w: v + F.coalesce(w, F.lit(0)))
+    rows = F.arrays_zip(found.alias("m"), ends.alias("e"), F.slice(gaps, F.lit(1), n).alias("l"), F.slice(gaps, F.lit(2), n).alias("r"))
+    span = lambda x: F.struct((x["e"] - F.length(x["m"])).alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["l"].alias("l"), x["r"].alias("r"))
+    return F.when(n > 0, F.transform(rows, span)).otherwise(_none(FINDING))
 
 
 def luhn(digits: Column) -> Column:
@@ -91,120 +107,115 @@ def _kept(kind: str) -> Column:
     return F.filter(placed(F.col(f"m_{kind}"), F.col(f"g_{kind}")), lambda x: KEEP[kind](x["m"]))
 
 
-def _bounds(kind: str) -> Column:
-    return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-
-
-def _sides(kind: str) -> Column:
-    """array<struct<kind, at, t, l, r>>: the text on both sides of each finding; l, r: cut at that edge."""
-
-    def of(x: Column) -> Column:
-        left = F.greatest(x["s"] - CONTEXT, F.lit(0))
-        k, no = F.lit(KINDS.index(kind)).alias("kind"), F.lit(False)
-        return F.array(
-            F.struct(k, left.alias("at"), F.substring("text", left + 1, x["s"] - left).alias("t"), (left > 0).alias("l"), no.alias("r")),
-            F.struct(k, x["e"].alias("at"), F.substring("text", x["e"] + 1, F.lit(CONTEXT)).alias("t"), no.alias("l"), (x["e"] + CONTEXT < F.length("text")).alias("r")),
-        )
-
-    return F.flatten(F.transform(kind, of))
-
-
-def _terms_of(side: Column) -> Column:
-    """The terms of one side; a run that touches a cut edge may go on beyond it and is left out."""
-    runs = placed(F.regexp_extract_all(side["t"], F.lit(TERM), F.lit(0)), F.split(side["t"], TERM, -1))
-    whole = F.filter(runs, lambda w: ~((side["l"] & (w["s"] == 0)) | (side["r"] & (w["e"] == F.length(side["t"])))))
-    return F.transform(whole, lambda w: F.struct(side["kind"].alias("kind"), F.lower(w["m"]).alias("term"), (side["at"] + w["s"]).alias("s"), (side["at"] + w["e"]).alias("e")))
-
-
-def findings(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, one array of spans per kind, and the context terms of all findings.
+def with_findings(d: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, text and an array of findings per kind, from ``keep`` and text (not null).
 
     Step by step, so that each pattern runs over a text once."""
     text = F.col("text")
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    none = F.expr("cast(array() as array<string>)")
-    d = d.select("*", *[F.when(GUARDS[k](text), F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none).alias(f"m_{k}") for k in KINDS])
-    d = d.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split(text, PATTERNS[k], -1)).otherwise(none).alias(f"g_{k}") for k in KINDS])
-    d = d.select("doc_id", "text", *[_kept(k).alias(k) for k in KINDS])
-    d = d.select("doc_id", "text", *[_bounds(k).alias(k) for k in KINDS], F.concat(*[_sides(k) for k in KINDS]).alias("sides"))
-    return d.select("doc_id", F.xxhash64("text").alias("text_hash"), *KINDS, F.flatten(F.transform("sides", _terms_of)).alias("context"))
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
-    """term, cf: occurrences of every term in all whole texts."""
-    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), NO_TERM)).alias("word"))
-    return words.filter("word != ''").select(F.lower("word").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
-
-
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """kind, term, disclosure: the terms that reveal an entity class at GENERALISE_AT or above."""
-    context = found.select(F.explode("context").alias("x")).select("x.kind", "x.term")
-    pairs = stored(context.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n")), "pii-pairs")
-    counts = stored(term_counts(docs), "pii-terms")
-    per_kind = {r["kind"]: r["n"] for r in pairs.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # four rows at most
-    total = counts.agg(F.sum("cf").alias("t")).first()["t"] or 0
-    n_kind = F.element_at(F.create_map(*[F.lit(x) for k in range(len(KINDS)) for x in (k, per_kind.get(k, 1))]), F.col("kind"))
-    tests = pairs.count()
-    joined = pairs.join(counts, "term")
-    pmi = F.log2(F.col("n") * F.lit(float(total)) / (n_kind * F.col("cf")))
-    ic = F.log2(F.lit(float(max(total, 2))) / F.least(n_kind, F.lit(max(total, 2) - 1)))
+    d = d.select(*keep, "text", *[F.when(GUARDS[k](text), F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).otherwise(_none("array<string>")).alias(f"m_{k}") for k in KINDS])
+    d = d.select(*keep, "text", *[f"m_{k}" for k in KINDS], *[F.when(F.size(f"m_{k}") > 0, F.split(text, PATTERNS[k], -1)).otherwise(_none("array<string>")).alias(f"g_{k}") for k in KINDS])
+    return d.select(*keep, "text", *[_kept(k).alias(k) for k in KINDS])
+
+
+def context(x: Column, length: Column) -> Column:
+    """The terms around a finding. A run that touches the edge of the context may go on beyond it and is left out, but at the text's own."""
+    left = F.concat(F.when((x["s"] == F.length(x["l"])) & (x["s"] <= CONTEXT), " ").otherwise(""), F.right(x["l"], F.lit(CONTEXT)))
+    right = F.concat(F.left(x["r"], F.lit(CONTEXT)), F.when((x["e"] + F.length(x["r"]) == length) & (F.length(x["r"]) <= CONTEXT), " ").otherwise(""))
+    words = lambda side: F.split(side, NO_TERM)
+    inner = lambda side: F.slice(words(side), F.lit(2), F.greatest(F.size(words(side)) - 2, F.lit(0)))
+    return F.transform(F.filter(F.concat(inner(left), inner(right)), lambda w: w != ""), F.lower)
+
+
+def _texts(docs: DataFrame, *keep: Column | str) -> DataFrame:
+    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
+
+
+def disclosing_terms(docs: DataFrame) -> DataFrame:
+    """term, k (in TERM_KINDS), kind (in KINDS), disclosure: the terms that reveal an entity at GENERALISE_AT or above, stored."""
+    found = with_findings(_texts(docs)).withColumn("size", F.length("text"))
+    of_kind = lambda i: F.transform(KINDS[i], lambda x: F.struct(F.lit(i).alias("kind"), F.xxhash64(F.lit(i), F.lower(x["m"])).alias("value"), context(x, F.col("size")).alias("terms")))
+    every = F.concat(*map(of_kind, range(len(KINDS))))
+    beside = found.filter(" OR ".join(f"size({k}) > 0" for k in KINDS)).select(F.explode(every).alias("x")).select("x.kind", "x.value", F.explode("x.terms").alias("term"))
+    beside = beside.groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n"))
+    # an entity is a value, or (null) the class
+    of_class = F.struct("kind", F.lit(None).cast("long").alias("value"))
+    pairs = beside.select(F.explode(F.array(F.struct("kind", "value"), of_class)).alias("entity"), "term", "n")
+    pairs = stored(pairs.groupBy("entity", "term").agg(F.sum("n").alias("n")), "pii-pairs")
+    entities = stored(pairs.groupBy("entity").agg(F.sum("n").alias("n_entity")), "pii-entities")
+    words = _texts(docs).select(F.filter(F.split("text", NO_TERM), lambda w: w != "").alias("words"))
+    total = max(words.agg(F.sum(F.size("words"))).first()[0] or 0, 2)
+    candidates = stored(pairs.select("term").distinct(), "pii-candidates")
+    counts = words.select(F.explode("words").alias("word")).select(F.lower("word").alias("term")).join(sized_broadcast(candidates), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+    joined = pairs.join(counts, "term").join(entities, "entity")
+    n_entity = F.least(F.col("n_entity"), F.lit(total - 1))
+    disclosure = F.log2(F.col("n") * F.lit(float(total)) / (n_entity * F.col("cf"))) / F.log2(F.lit(float(total)) / n_entity)
     # an occurrence between two findings counts for both, so n may be over cf
-    q, p = F.least(F.lit(1.0), F.col("n") / F.col("cf")), F.least(n_kind, F.lit(max(total, 2) - 1)) / F.lit(float(max(total, 2)))
+    q, p = F.least(F.lit(1.0), F.col("n") / F.col("cf")), n_entity / F.lit(float(total))
     kl = q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
-    sure = (q > p) & (F.col("cf") * kl >= math.log(max(tests, 1) / CHANCE))
-    return joined.filter(sure).select("kind", "term", (pmi / ic).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE_AT)
-
-
-def term_places(docs: DataFrame, strong: DataFrame) -> DataFrame:
-    """d, h, terms: every occurrence of the strong terms (term, k) in each whole text that has any."""
-    text = F.coalesce("text", F.lit(""))
-    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
-    words = texts.select("d", "h", F.explode(F.array_distinct(F.split("text", NO_TERM))).alias("word")).filter("word != ''")
-    of = lambda k: F.collect_set(F.when(F.col("k") == k, F.col("word"))).alias(f"w{k}")
-    hits = words.join(strong, F.lower("word") == F.col("term")).groupBy(F.col("d").alias("hd"), F.col("h").alias("hh")).agg(of(0), of(1))
-    found = texts.join(hits, F.col("d").eqNullSafe(F.col("hd")) & (F.col("h") == F.col("hh")))
-    places = []
-    for k in range(len(TERM_KINDS)):
-        # letters and digits only, so nothing to escape
-        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(f"w{k}", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-        runs = placed(F.regexp_extract_all("text", pattern, F.lit(0)), F.split("text", pattern, -1))
-        some = F.transform(runs, lambda x, k=k: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
-        places.append(F.when(F.size(f"w{k}") > 0, some).otherwise(F.expr(NO_TERMS)))
-    return found.select("d", "h", F.array_sort(F.concat(*places)).alias("terms")).dropDuplicates(["d", "h"])
-
-
-def spans(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, text_hash, an array per kind, and the method's terms as
-    array<struct<kind, s, e>> in ``terms`` (kind indexes TERM_KINDS)."""
-    found = stored(findings(docs), "pii-found")
-    kind = F.when(F.max("disclosure") >= REMOVE_AT, 0).otherwise(1).alias("k")
-    strong = stored(disclosing_terms(docs, found).groupBy("term").agg(kind), "pii-strong")
-    terms = term_places(docs, strong)
-    base = found.select("doc_id", "text_hash", *KINDS)
-    out = base.join(terms, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
-    covered = F.concat(*KINDS)  # a term inside a finding is masked already
-    outside = F.filter(F.coalesce("terms", F.expr(NO_TERMS)), lambda t: ~F.exists(covered, lambda b: (t["s"] < b["e"]) & (b["s"] < t["e"])))
-    return out.select("doc_id", "text_hash", *KINDS, outside.alias("terms"))
-
-
-def _named(spans: Column, kind: str) -> Column:
+    sure = (q > p) & (F.col("cf") * kl >= math.log(max(pairs.count(), 1) / CHANCE))
+    strong = joined.filter(sure).select("term", "entity.kind", disclosure.alias("disclosure")).filter(F.col("disclosure") >= GENERALISE_AT)
+    best = strong.groupBy("term").agg(F.max(F.struct("disclosure", (-F.col("kind")).alias("kind"))).alias("b"))
+    return stored(best.select("term", F.when(F.col("b.disclosure") >= REMOVE_AT, 0).otherwise(1).alias("k"), (-F.col("b.kind")).alias("kind"), "b.disclosure"), "pii-strong")
+
+
+def with_spans(docs: DataFrame) -> DataFrame:
+    """row (all columns), text, an array of findings per kind, and ``terms``: array<struct<s, e, k, l>> of disclosing
+    terms outside of them, k in TERM_KINDS, l what replaces them."""
+    strong = disclosing_terms(docs)
+    listed = strong.limit(LISTED + 1).collect()  # LISTED + 1 at most
+    d = _texts(docs, whole_row(docs))
+    if len(listed) <= LISTED:
+        names = [r["term"] for r in listed]
+        known = F.create_map(*[x for r in listed for x in (F.lit(r["term"]), F.struct(F.lit(r["term"]).alias("term"), F.lit(r["k"]).alias("k"), F.lit(r["kind"]).alias("kind")))]) if names else None
+        is_strong = lambda w: F.lower(w).isin(names) if names else F.lit(False)
+        some = F.exists(F.split("text", NO_TERM), is_strong) if names else F.lit(False)
+        d = d.select("row", "text", some.alias("some"))
+        label = lambda w: F.element_at(known, F.lower(w)) if names else F.lit(None)
+    else:
+        texts = _texts(docs, "doc_id").select(F.xxhash64("doc_id", "text").alias("d"), F.xxhash64("text").alias("h"), F.array_distinct(F.split("text", NO_TERM)).alias("w"))
+        hits = texts.select("d", "h", F.explode("w").alias("w")).select("d", "h", F.lower("w").alias("term")).join(strong.select("term", "k", "kind"), "term")
+        hits = hits.groupBy("d", "h").agg(F.collect_set(F.struct("term", "k", "kind")).alias("strong"))
+        d = d.select("row", "text", F.xxhash64("row.doc_id", "text").alias("d"), F.xxhash64("text").alias("h")).join(hits, ["d", "h"], "left")
+        d = d.select("row", "text", "strong", F.col("strong").isNotNull().alias("some"))
+        is_strong = lambda w: F.exists("strong", lambda x: x["term"] == F.lower(w))
+        label = lambda w: F.get(F.filter("strong", lambda x: x["term"] == F.lower(w)), F.lit(0))
+    kept = [c for c in d.columns if c != "text"]
+    d = with_findings(d, *kept)
+    d = d.select("*", F.when(F.col("some"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).otherwise(_none("array<string>")).alias("m"), F.when(F.col("some"), F.split("text", TERM, -1)).otherwise(_none("array<string>")).alias("g"))
+
+    def span(x: Column) -> Column:
+        t = label(x["m"])
+        words = F.when(t["k"] == 0, "").otherwise(F.concat(F.lit("<"), F.get(F.array(*map(F.lit, KINDS)), t["kind"]), F.lit("-term>")))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), t["k"].cast("int").alias("k"), words.alias("l"))
+
+    terms = F.transform(F.filter(placed(F.col("m"), F.col("g")), lambda x: is_strong(x["m"])), span) if len(listed) else _none(SPAN)
+    d = d.select("row", "text", *KINDS, terms.cast(SPAN).alias("terms"))
+    return d.select("row", "text", *KINDS, outside("terms", *KINDS).alias("terms"))
+
+
+def outside(terms: str, *kinds: str) -> Column:
+    """The terms that no finding overlaps. With all spans in order, a finding that begins before a term overlaps it
+    if the last end so far is beyond the term's start, and one that begins in it is the first from there on."""
+    both = F.array_sort(F.concat(*[F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(-1).alias("k"), F.lit("").alias("l"))) for k in kinds], F.col(terms)))
+    n = sum((F.size(k) for k in kinds), F.size(terms))
+    reached = scanned(F.transform(both, lambda x: F.when(x["k"] < 0, x["e"]).otherwise(-1)), n, lambda v, w: F.greatest(v, w))
+    begins = F.reverse(scanned(F.reverse(F.transform(both, lambda x: F.when(x["k"] < 0, x["s"]).otherwise(2**31 - 1))), n, lambda v, w: F.least(v, w)))
+    free = F.filter(F.arrays_zip(both.alias("x"), reached.alias("r"), begins.alias("b")), lambda y: (y["x"]["k"] >= 0) & (y["r"] <= y["x"]["s"]) & (y["b"] >= y["x"]["e"]))
+    some = sum((F.size(k) for k in kinds), F.lit(0)) > 0
+    return F.when((F.size(terms) > 0) & some, F.transform(free, lambda y: y["x"])).otherwise(F.col(terms))
+
+
+def _named(spans: Column | str, kind: str) -> Column:
     return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
 
 
-def _terms(k: int) -> Column:
-    return F.filter("terms", lambda t: t["k"] == k)
-
-
-def _labelled(kind: str) -> Column:
-    return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"<{kind}>").alias("l")))
-
-
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, a count per kind, base_sha256 and spans, as text."""
-    base = [_named(F.col(k), k) for k in KINDS]
-    extra = [_named(_terms(i), n) for i, n in enumerate(TERM_KINDS)]
-    return spans(docs).select(
-        "doc_id",
+    base = [_named(k, k) for k in KINDS]
+    of = lambda i: F.filter("terms", lambda t: t["k"] == i)
+    extra = [_named(of(i), n) for i, n in enumerate(TERM_KINDS)]
+    return with_spans(docs.select("doc_id", "text")).select(
+        "row.doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(F.concat(*base), ","), 256).alias("base_sha256"),
         F.array_join(F.concat(*base, *extra), ",").alias("spans"),
@@ -212,31 +223,33 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """The documents with findings replaced by <kind>, strong terms removed and weaker ones generalised.
+def masked(marks: str, pieces: str) -> Column:
+    """The text, given in pieces of PIECE code points, with the marks (array<struct<s, e, l>> in order) replaced.
 
-    Overlapping spans are merged from the left: the first keeps its label, the rest extend it."""
-    at = spans(docs).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), *KINDS, "terms")
-    labelled = F.concat(
-        *[_labelled(k) for k in KINDS],
-        F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["k"] == 0, "").otherwise("<term>").alias("l"))),
-    )
-    # equal rows have equal spans: one of each is joined
-    marks = at.filter(F.size(labelled) > 0).select("__d", "__t", F.array_sort(labelled).alias("__marks")).dropDuplicates(["__d", "__t"])
-    keyed = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(marks, keyed["doc_id"].eqNullSafe(marks["__d"]) & (keyed["__h"] == marks["__t"]), "left")
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["s"] >= acc["p"]
-        return F.struct(
-            F.when(fresh, F.array_append(F.array_append(acc["o"], F.substring(F.col("text"), acc["p"] + 1, x["s"] - acc["p"])), x["l"])).otherwise(acc["o"]).alias("o"),
-            F.greatest(acc["p"], x["e"]).alias("p"),
-        )
-
-    start = F.expr("named_struct('o', cast(array() as array<string>), 'p', 0)")
-    done = F.aggregate("__marks", start, step, lambda acc: F.concat(F.array_join(acc["o"], ""), F.expr("''"), F.substring(F.col("text"), acc["p"] + 1, F.length("text"))))
-    text = F.when(F.col("__marks").isNull(), F.col("text")).otherwise(done)
-    out = joined.withColumn("text", text)
+    Overlapping marks are merged from the left: the first keeps its label, the rest extend it."""
+    n = F.size(marks)
+    reached = scanned(F.transform(marks, lambda x: x["e"]), n, lambda v, w: F.greatest(v, w))
+    steps = F.zip_with(marks, F.concat(F.array(F.lit(0)), reached), lambda x, p: F.struct(p.alias("p"), x["s"].alias("s"), x["l"].alias("l")))
+
+    def between(p: Column, q: Column) -> Column:
+        a, b = F.floor(p / PIECE).cast("int"), F.floor(q / PIECE).cast("int")
+        at = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+        inner = F.array_join(F.slice(pieces, a + 2, F.greatest(b - a - 1, F.lit(0))), "")
+        return F.when(a == b, F.substring(at(a), p % PIECE + 1, q - p)).otherwise(F.concat(F.substring(at(a), p % PIECE + 1, F.lit(PIECE)), inner, F.substring(at(b), F.lit(1), q % PIECE)))
+
+    fresh = F.filter(steps, lambda x: x["l"].isNotNull() & (x["s"] >= x["p"]))
+    head = F.array_join(F.transform(fresh, lambda x: F.concat(between(x["p"], x["s"]), x["l"])), "")
+    last = F.array_max(F.transform(marks, lambda x: x["e"]))
+    return F.concat(head, between(last, PIECE * F.size(pieces)))
+
+
+def sanitise(docs: DataFrame) -> DataFrame:
+    """The documents with findings replaced by <kind>, strong terms removed and weaker ones generalised."""
+    labelled = lambda k: F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"<{k}>").alias("l")))
+    at = with_spans(docs).select("row", F.array_sort(F.concat(*[labelled(k) for k in KINDS], F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["l"].alias("l"))))).alias("marks"), "text")
+    at = at.select("row", "marks", F.when(F.size("marks") > 0, F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("pieces"))
+    at = at.select("row", F.when(F.size("marks") > 0, masked("marks", "pieces")).otherwise(F.col("row.text")).alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return at.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -4,13 +4,13 @@ A document is a bag of passages of PASSAGE words. Every passage is encoded (shar
 shapes, of hashed words and of words repeated some places on, mean word length, size); gated attention weights, learnt from document labels
 alone, say how much each passage counts; the weighted sum of the passages' representations is scored.
 
-The model is fitted on TRAIN_DOCS labelled documents at most (those of the smallest hash of doc_id);
-everything else covers all rows. Labels, lang, source and doc_id are no inputs of a score.
+The model is fitted on TRAIN_DOCS labelled documents at most (those of the smallest hash of doc_id, one row
+each, and no more of them than TRAIN_CHARS characters hold); everything else covers all rows. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: null and empty texts are one passage without words and get a score like any other;
-repeated rows repeat; a null doc_id is scored and not held out; without labels of both kinds the score
+repeated rows repeat; of rows that share a doc_id the model is fitted on the least text; a null doc_id is scored and not held out; without labels of both kinds the score
 is the share of label 1 (0.5 without labels); an empty table gives an empty result; extra columns are
-kept by scored() and accepted() and ignored by report().
+kept by scored() and accepted(), whatever their names, and ignored by report().
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.window import Window
 
-from .common import text_batches
+from .common import cut, free_name, text_batches
 
 PASSAGE = 32
 #: Words back at which a word may be repeated: a share of the passage each.
@@ -36,6 +38,8 @@ SIZE = SHAPES + WORDS + OTHER
 HIDDEN, GATE = 32, 16
 TRAIN_DOCS, EPOCHS, BAGS, RATE, DECAY, SEED = 4000, 12, 64, 3e-3, 1e-4, 7
 FOLDS, THRESHOLD = 5, 0.3
+#: Characters of all texts that the model is fitted on: under 100 MB encoded.
+TRAIN_CHARS = 1 << 25
 #: Words whose codes are kept between batches.
 CACHED_WORDS = 300_000
 
@@ -54,7 +58,7 @@ class PassageEncoder:
         if len(self.codes) > CACHED_WORDS:
             self.codes = {}
         for w in words - self.codes.keys():
-            s = zlib.crc32(shape(w[:64]).encode()) % SHAPES
+            s = zlib.crc32(shape(w).encode()) % SHAPES
             u = zlib.crc32(w.lower().strip(".,;:!?\"'()").encode()) % WORDS
             self.codes[w] = s | u << 8 | min(len(w), 255) << 16 | zlib.crc32(w.encode()) << 24
 
@@ -170,21 +174,23 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Atten
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = PassageEncoder()
-        for b in batches:
+        for b in cut(batches):
             x, first = e.bags(b.column(2).to_pylist())
             ends = [*first[1:].tolist(), len(x)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[i:j].astype(np.float16).tobytes() for i, j in zip(first.tolist(), ends)], pa.binary())], ["id", "label", "bag"])
 
     # the ids chosen are TRAIN_DOCS at most
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select(F.col("doc_id").cast("long"), F.col("__label").cast("int"), "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "__label").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of TRAIN_DOCS rows
+    texts = texts.withColumn("__chars", so_far).filter(F.col("__chars") <= TRAIN_CHARS).select(F.col("doc_id").cast("long"), F.col("__label").cast("int"), "text")
     rows = texts.mapInArrow(run, "id long, label int, bag binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["bag"]))
     bags = [np.frombuffer(r["bag"], np.float16).astype(np.float32).reshape(-1, SIZE) for r in rows]
     return fit(bags, np.array([r["label"] for r in rows], np.float32))
 
 
-def scored(docs: DataFrame, model: Attention, column: str = "__score") -> DataFrame:
-    """The documents with a score from 0 to 1 of every whole text."""
+def scored(docs: DataFrame, model: Attention, column: str = "score") -> DataFrame:
+    """The documents with a score from 0 to 1 of every whole text, in a column that docs has not."""
     text_batches(docs.sparkSession)
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -193,23 +199,23 @@ def scored(docs: DataFrame, model: Attention, column: str = "__score") -> DataFr
         e = PassageEncoder()
         gc.disable()  # nothing here is cyclic
         try:
-            for b in batches:
+            for b in cut(batches):
                 y = shared.value.score(*e.bags(b.column(at).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(y, pa.float64())], [*b.schema.names, column])
         finally:
             gc.enable()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{column}` double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     out = scored(docs.select("doc_id", "text"), trained(docs, labels)).drop("text")
     held = F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are predicted to be of quality, unchanged."""
-    return scored(docs, trained(docs, labels)).filter(F.col("__score") >= THRESHOLD).select(docs.columns)
+    name = free_name(docs, "score")
+    return scored(docs, trained(docs, labels), name).filter(F.col(name) >= THRESHOLD).select([f"`{c}`" for c in docs.columns])

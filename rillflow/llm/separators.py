@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bpe
-from .common import stored, text_batches
+from .common import cut, stored, text_batches
 
 #: Tokens in a block, and the separator of the default vocabulary.
 BLOCK, SEPARATOR = 1 << 16, 50256
@@ -40,7 +40,7 @@ def token_files(docs: DataFrame, path: str | None = None, separator: int = SEPAR
 
     Rows with tokens are blocks; rows with doc_ids are the manifest: the file's documents in order,
     from ordinal first_doc on, without their places."""
-    text_batches(docs.sparkSession, bpe.ROWS)
+    text_batches(docs.sparkSession)
     vocabulary = bpe.shared_vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +50,7 @@ def token_files(docs: DataFrame, path: str | None = None, separator: int = SEPAR
         kinds = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary()), ("first_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
         gc.disable()  # nothing here is cyclic
         try:
-            for b in batches:
+            for b in cut(batches, bpe.ROWS):
                 texts = b.column(1).to_pylist()
                 known = e.batch(texts)
                 split = [next(known) for _ in texts]
@@ -74,7 +74,7 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
     """file, ordinal, start, n_tokens: every document of the token files, by file and order in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, 64):
             n, ends = [], []
             for tokens in b.column(2):
                 ids = np.frombuffer(tokens.as_buffer(), "<u2")
@@ -83,7 +83,7 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
             last = [int(x[-1]) if len(x) else None for x in ends]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([len(x) for x in ends], pa.int64()), pa.array(last, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], ["file", "block", "n", "seps", "last", "ends"])
 
-    text_batches(blocks.sparkSession, 64)
+    text_batches(blocks.sparkSession)
     found = blocks.select("file", "block", "tokens").mapInArrow(run, "file long, block long, n long, seps long, last long, ends array<long>")
     found = stored(found, "separators")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,7 +8,7 @@ cuts fall among smaller rows. Shards that gain or lose rows are rewritten.
 
 Defined results: a null text has no bytes and checksum 0; every row counts ROW bytes besides its text;
 repeated rows are placed each by itself; null doc_ids are placed like others; an empty table gives an
-empty result; extra columns are ignored by placed() and kept by rewritten().
+empty result (and no file); extra columns, whatever their names, are ignored by placed() and kept by rewritten().
 Only shard sizes and transfers reach the driver.
 """
 
@@ -19,7 +19,7 @@ from collections import defaultdict, deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_bits, running_sum, stored
+from .common import bucketed, free_name, running_sum, stored, whole_row
 
 LAW, ROW = "bytes", 16
 OLD_SHARDS, SHARDS = 32, 40
@@ -117,14 +117,14 @@ def _target(moves: dict[int, list[tuple[int, int]]]) -> Column:
     return F.element_at(to, F.size(F.filter(mine, lambda e: e <= F.col("mid"))) + 1) if most > 1 else F.element_at(to, F.lit(1))
 
 
-def sized(docs: DataFrame, old_shard: Column, *keep: str) -> DataFrame:
+def sized(docs: DataFrame, old_shard: Column, *keep: str | Column) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return stored(
         docs.select(
             F.monotonically_increasing_id().alias("__row"),
             F.xxhash64("doc_id", "text").alias("__order"),
-            (F.octet_length(text) + ROW).cast("long").alias("__size"),
-            F.crc32(text).cast("long").alias("__crc"),
+            (F.octet_length(text) + ROW).cast("long").alias("size"),
+            F.crc32(text).cast("long").alias("text_crc32"),
             old_shard.cast("int").alias("old_shard"),
             *keep,
         ),
@@ -134,17 +134,17 @@ def sized(docs: DataFrame, old_shard: Column, *keep: str) -> DataFrame:
 
 def _moved(rows: DataFrame, shards: int) -> tuple[DataFrame, dict[int, list[tuple[int, int]]]]:
     """rows with ``shard`` after the flow from ``old_shard``, and the flow."""
-    sizes = {r["old_shard"]: (r["n"], r["rows"]) for r in rows.groupBy("old_shard").agg(F.sum("__size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}  # a row per shard
+    sizes = {r["old_shard"]: (r["n"], r["rows"]) for r in rows.groupBy("old_shard").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}  # a row per shard
     old = [sizes.get(i, (0, 0))[0] for i in range(max(sizes, default=0) + 1)]
     moves = transfers(old, capacities(sum(old), shards))
-    lined = rows.withColumn("__class", (-F.floor(F.log2("__size") * CLASSES)).cast("int")).withColumn("__bits", hash_bits("__order", len(old), sum(r for _, r in sizes.values()), BUCKET)[0])
-    lined = running_sum(lined, ["old_shard"], [["__class"], ["__bits"]], ["__order", "__row"], "__size", "__at")
-    out = lined.withColumn("mid", F.col("__at") + F.expr("__size div 2")).withColumn("shard", _target(moves).cast("int"))
-    return stored(out.drop("__class", "__bits", "__at", "mid"), "shard-placed"), moves
+    lined, levels = bucketed(rows.withColumn("__class", (-F.floor(F.log2("size") * CLASSES)).cast("int")), len(old), sum(r for _, r in sizes.values()), BUCKET)
+    lined = running_sum(lined, ["old_shard"], [["__class"], *levels], ["__order", "__row"], "size", "__at")
+    out = lined.withColumn("mid", F.col("__at") + F.expr("size div 2")).withColumn("shard", _target(moves).cast("int"))
+    return stored(out.select(*rows.columns, "shard"), "shard-placed"), moves
 
 
-def placed(docs: DataFrame, old_shard: Column | None = None, shards: int = SHARDS, *keep: str) -> tuple[DataFrame, dict[int, list[tuple[int, int]]]]:
-    """The rows with ``shard``, and the transfers. old_shard: where each row is now, from 0; by default a hash of doc_id.
+def placed(docs: DataFrame, old_shard: Column | None = None, shards: int = SHARDS, *keep: str | Column) -> tuple[DataFrame, dict[int, list[tuple[int, int]]]]:
+    """doc_id, size, text_crc32, old_shard, ``keep`` and ``shard``, and the transfers. old_shard: where each row is now, from 0; by default a hash of doc_id.
 
     Cuts fall between rows, so a second flow, from what the first one gives, evens out the rest with the smallest rows."""
     now = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(OLD_SHARDS)) if old_shard is None else old_shard
@@ -155,21 +155,24 @@ def placed(docs: DataFrame, old_shard: Column | None = None, shards: int = SHARD
 
 def slotted(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """rows with ``slot``: 0, 1, 2 ... within each shard."""
-    counted = rows.withColumn("__one", F.lit(1).cast("long")).withColumn("__bits", hash_bits("__order", shards, rows.count(), BUCKET)[0])
-    return running_sum(counted, ["shard"], [["__bits"]], ["__order", "__row"], "__one", "slot")
+    counted, levels = bucketed(rows.withColumn("__one", F.lit(1).cast("long")), shards, rows.count(), BUCKET)
+    return running_sum(counted, ["shard"], levels, ["__order", "__row"], "__one", "slot").select(*rows.columns, "slot")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     rows, _ = placed(docs)
-    return slotted(rows).select("doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return slotted(rows).select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def rewritten(docs: DataFrame, path: str, old_shard: Column | None = None, shards: int = SHARDS, file_rows: int = 1 << 20) -> list[int]:
-    """Write the shards that gain or lose rows under path/shard=N, in files of about file_rows; their numbers."""
-    rows, _ = placed(docs, old_shard, shards, *[c for c in docs.columns if c != "doc_id"])
+    """Write the shards that gain or lose rows under path/shard=N, in files of about file_rows, with a column slot; their numbers.
+
+    Where docs has a column of that name, the partition or the slot gets underscores behind it."""
+    rows, _ = placed(docs, old_shard, shards, whole_row(docs, "__whole"))
     went = rows.filter("shard != old_shard").select("shard", "old_shard").distinct().collect()  # pairs of shards
     changed = sorted({r["shard"] for r in went} | {r["old_shard"] for r in went if r["old_shard"] < shards})
-    out = slotted(rows, shards).filter(F.col("shard").isin(changed))
-    out.repartition("shard", F.expr(f"slot div {file_rows}")).select(*docs.columns, "shard", "slot").write.partitionBy("shard").parquet(path)
+    out = slotted(rows, shards).filter(F.col("shard").isin(changed)).repartition("shard", F.expr(f"slot div {file_rows}"))
+    by, slot = free_name(docs, "shard"), free_name(docs, "slot")
+    out.select("__whole.*", F.col("shard").alias(by), F.col("slot").alias(slot)).write.partitionBy(by).parquet(path)
     return changed

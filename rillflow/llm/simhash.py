@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_batches
+from .common import cut, dropped, free_name, sized_broadcast, stored, text_batches
 
 WORDS, SEED, RADIUS, BITS = 4, 42, 4, 64
 #: Fingerprints in one tree, and in the trees that are searched at once.
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches):
             fp = np.array([fingerprint(shingle_hashes(t)) for t in b.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
@@ -191,7 +191,6 @@ def _units(nodes: DataFrame, radius: int) -> DataFrame:
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: links between the distinct fingerprints (column fp) that give the components within the radius."""
-    spark = nodes.sparkSession
     units = _units(nodes, radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,16 +215,17 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield out(np.concatenate(held, axis=1))
 
     spread = units.repartition("unit").sortWithinPartitions("unit").select("unit", "side", "fp")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
-def joined_up(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def joined_up(edges: DataFrame) -> DataFrame:
     """fp, root: the smallest fingerprint of the component of every fingerprint that has a link.
 
-    Rounds of large and small stars; each round is a stored table, so nothing is kept on the driver."""
+    Rounds of large and small stars until nothing changes; each round is a stored table, so nothing is kept on the driver."""
+    state = lambda e: e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     edges = stored(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("v != u").distinct(), "simhash-edges")
-    for _ in range(most_rounds):
+    before = state(edges)
+    while True:
         both = edges.unionAll(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
         large = both.filter("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v != u").distinct()
@@ -233,11 +233,11 @@ def joined_up(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(down, "v")
         small = small.select(F.col("u").alias("v"), F.col("m").alias("u")).unionAll(small.select("v", F.col("m").alias("u")))
         after = stored(small.filter("v != u").distinct(), "simhash-edges")
-        state = lambda e: e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state(after) == state(edges):
+        now = state(after)
+        dropped(edges)
+        if now == before:
             return after.select(F.col("v").alias("fp"), F.col("u").alias("root"))
-        edges = after
-    raise RuntimeError("components did not settle")
+        edges, before = after, now
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -261,12 +261,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The first document of each root in parts (doc_id, text_hash, root).
-
-    Rows are told apart by 128 bits of hashes; the join and the removal of repeated rows share one shuffle by them."""
-    key = lambda text_hash: F.xxhash64("doc_id", text_hash).alias("__key")
-    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-    kept = parts.groupBy("root").agg(F.min(first).alias("k")).select("k.doc_id", F.col("k.text_hash").alias("__text"))
-    kept = kept.select(key("__text"), "__text").distinct()
-    keyed = docs.select("*", key(F.xxhash64("text")), F.xxhash64("text").alias("__text"))
-    return keyed.join(kept, ["__key", "__text"], "left_semi").dropDuplicates(["__key", "__text"]).select(docs.columns)
+    """The first document of each root in parts (doc_id, text_hash, root); of rows equal in doc_id and text, one.
+
+    Rows are told apart by doc_id and 64 bits of their text. What goes is joined, not what stays: a broadcast
+    if it is small, so that texts don't cross the network."""
+    parts = stored(parts, "copies-parts")
+    key = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
+    first = parts.groupBy("root").agg(F.min(key).alias("k")).select("root", "k")
+    counted = parts.groupBy("doc_id", "text_hash", "root").agg(F.count(F.lit(1)).alias("n")).select(key.alias("own"), "root", "n")
+    judged = counted.join(first, "root").select(F.xxhash64("own.doc_id", "own.text_hash").alias("key"), F.col("own.text_hash").alias("text_hash"), (F.col("own") == F.col("k")).alias("stays"), "n")
+    goes = stored(judged.filter("NOT stays OR n > 1").select("key", "text_hash", "stays"), "copies-go")
+    dropped(parts)
+    names = {c: free_name(docs, c) for c in ("key", "text_hash", "stays")}
+    keyed = docs.select("*", F.xxhash64("text").alias(names["text_hash"])).withColumn(names["key"], F.xxhash64("doc_id", names["text_hash"]))
+    joined = keyed.join(sized_broadcast(goes.withColumnsRenamed(names)), [names["key"], names["text_hash"]], "left")
+    out = joined.filter(F.col(names["stays"]).isNull()).select(docs.columns)
+    if goes.filter("stays").first() is None:
+        return out
+    again = joined.filter(names["stays"]).dropDuplicates([names["key"], names["text_hash"]])
+    return out.unionAll(again.select(docs.columns))

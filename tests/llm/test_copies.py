@@ -3,7 +3,10 @@
 import random
 import re
 
-from rillflow.llm import copies
+import numpy as np
+import pytest
+
+from rillflow.llm import copies, simhash
 
 
 def shingles(text):
@@ -60,3 +63,43 @@ def test_copies_that_simhash_leaves_and_its_chance_hits(spark):
 
 def test_empty(spark):
     assert copies.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("tree", [8, 20])
+def test_large_shards_are_dealt_out_and_lose_no_link(spark, monkeypatch, tree):
+    monkeypatch.setattr(copies, "TREE", tree)
+    rng, texts = random.Random(3), []
+    for centre in range(2):
+        words = [f"c{centre}w{i}" for i in range(90)]
+        for _ in range(70):  # around the limit: some are linked only through others
+            near = list(words)
+            for _ in range(rng.randrange(9)):
+                near[rng.randrange(len(near))] = f"new{rng.randrange(9)}"
+            texts.append(" ".join(near))
+    rows = list(enumerate(texts))
+    assert kept(spark, rows) == plain_kept(rows)
+
+
+def test_shards_of_many_units_are_exact():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 30, 40).astype(np.uint32)) for _ in range(200)]
+    fp = np.array([simhash.fingerprint(s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for s in sets], np.uint64)
+    unit = np.sort(rng.integers(0, 12, 200))
+    a, b = copies.Shards(unit, np.full(200, 2), np.arange(200), fp, sets).links()
+    root = simhash.roots_of(a, b, 200)
+    want = list(range(200))
+    for i in range(200):
+        for j in range(i):
+            if unit[i] == unit[j] and 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])) and int(fp[i] ^ fp[j]).bit_count() <= copies.RADIUS:
+                low, high = sorted((want[i], want[j]))
+                want = [low if r == high else r for r in want]
+    assert root.tolist() == want
+
+
+def test_keep_one_keeps_columns_with_inner_names_and_one_of_repeated_rows(spark):
+    rows = [(1, "a b c d e f", 5, 6, 7, 8), (1, "a b c d e f", 5, 6, 7, 8), (2, "a b c d e f", 1, 1, 1, 1), (3, "g h i j k l", 9, 9, 9, 9), (None, None, 0, 0, 0, 0), (None, "", 2, 2, 2, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long, text_hash long, stays int, hash int")
+    out = copies.keep_one(docs)
+    assert out.columns == docs.columns
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert [g for g in got if g[0]] == [rows[0], rows[3]] and len(got) == 3 and got[-1] in rows[4:]

@@ -71,3 +71,13 @@ def test_rival_notices_are_told_apart():
     for raw in ("under the mpl license", "under the nist license", "creative commons attribution commercial", "creative commons attribution comercial", "cc by nd"):
         assert s.scan(raw).near == [], raw
     assert [x[0] for x in s.scan("creative commons attribution non commercial").near] == ["cc-by-nc"]
+
+
+def test_long_texts_of_matches_and_of_near_misses_take_seconds():
+    import time
+
+    began, s = time.time(), licenses.Scanner()
+    n = len(s.scan("cc by nc " * 40_000).base)
+    assert n == 40_000 and len(s.scan("under the mit licence " * 20_000).near) == 20_000
+    assert not s.scan("permission is hereby " * 40_000).near
+    assert time.time() - began < 30

@@ -97,3 +97,20 @@ def test_small_sources_meet_their_targets_in_words(spark):
         for r in mixing.mixed(docs).collect():
             texts[of[r.doc_id]] += len(r.text.split())
         assert dict(taken) == {s: round(t) for s, t in goal.items()} == dict(texts)
+
+
+def test_repeated_rows_and_ids_beyond_doubles_and_inner_names(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 8)
+    inner = ["size", "src", "start", "__row", "__order", "__size", "__whole", "__hot", "uses", "part"]
+    big = [2**60 + 1, 2**60 + 3, None]
+    rows = [(i, f"w{i} x y", "s", 9, *inner) for i in big] + [(None, None, "s", 0, *inner)] * 100 + [(7, "same words here", "t", 0, *inner)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{c} string" for c in inner))
+    got = mixing.takes(docs).collect()
+    assert len(got) == len(rows) and sum(r.taken for r in got) == round(sum(r.size for r in got))
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert {r.doc_id for r in rows} <= {*big, 7} and all(list(r[4:]) == inner for r in rows)
+    assert sum(len(r.text.split()) for r in rows) == sum(r.taken for r in got)
+    again = mixing.takes(docs.repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))

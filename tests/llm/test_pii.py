@@ -96,3 +96,74 @@ def test_strong_terms_are_masked_in_all_texts_and_rare_ones_count(spark):
     assert "a badger;" in got[200] and got[300] == before[300]
     assert all("zorro" not in got[100 + i] for i in range(4))
     assert "once" in got[202]
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus():
+    filler = "lorem ipsum dolor sit amet " * 60
+    rows = [(i, filler + f" Badge me at u{i}@corp.example.com " + filler) for i in range(60)]
+    rows += [(100 + i, filler + f" me at {1 + i}.2.3.4 beacon, " + filler) for i in range(30)]
+    rows += [(200 + i, filler + " zorro at one@corp.example.com. " + filler) for i in range(3)] + [(250, filler + "ask zorro"), (251, "zorros ask Zorro\n" + filler), (252, None), (253, "")]
+    rows += [(300 + i, filler + " me at beacon" * (i < 3)) for i in range(200)]
+    return rows
+
+
+def test_terms_disclose_single_entities_and_become_their_class(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in rows], DOCS)
+    got = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert got[200].count("<email>") == 1 and "zorro" not in got[200] + got[250]  # beside one value only, not rare in its class
+    assert got[251].startswith("zorros ask <email-term>\nlorem") and got[252] is None and got[253] == ""
+    assert all("beacon" not in got[100 + i] and "<ip-term>" in got[100 + i] for i in range(30)) and "<ip-term>" in got[300]
+    assert got[310] == dict(rows)[310]
+
+
+def test_many_terms_are_joined_with_the_same_result(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in [*corpus(), corpus()[0]]], DOCS)
+    listed = sorted(map(tuple, pii.sanitise(docs).collect()), key=str)
+    spans = sorted(map(tuple, pii.report(docs).collect()), key=str)
+    monkeypatch.setattr(pii, "LISTED", 1)
+    assert sorted(map(tuple, pii.sanitise(docs).collect()), key=str) == listed
+    assert sorted(map(tuple, pii.report(docs).collect()), key=str) == spans
+
+
+def test_masks_against_plain_python_on_random_strings(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("ab1.@-_ +4é\U0001f600") for _ in range(rng.randrange(80))) * (1 + 40 * (i % 50 == 0))) for i in range(600)]
+    rows += [(1000, ("+1 (743) 555-3824 " + "é" * 700) * 9), (1001, "a@b.c" + " x" * 3000 + "1.2.3.4")]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], DOCS)
+    terms = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    for r in pii.sanitise(docs).collect():
+        text, found = dict(rows)[r.doc_id], sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in terms[r.doc_id].split(",") if x))
+        out, at = "", 0
+        for s, e, k in found:
+            if s >= at:
+                out += text[at:s] + ("" if k == "term_removed" else f"<{k}>" if not k.startswith("term") else "?")
+            at = max(at, e)
+        assert r.text == out + text[at:] or "?" in out
+        assert r.n_chars == len(r.text)
+
+
+def test_a_long_text_of_matches_takes_seconds(spark):
+    import time
+
+    texts = ["me@x.org " * 60_000, "12," * 200_000, "+1 (743) 555-3824, 1.2.3.4 " * 15_000]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in enumerate(texts)], DOCS)
+    began = time.time()
+    got = {r.doc_id: r for r in pii.report(docs).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert time.time() - began < 90
+    assert (got[0].n_email, got[1].n_card, got[2].n_phone, got[2].n_ip) == (60_000, 0, 15_000, 15_000)
+    assert clean[0] == "<email> " * 60_000 and clean[1] == texts[1] and clean[2] == "<phone>, <ip> " * 15_000
+
+
+def test_columns_with_inner_names_pass_through(spark):
+    inner = ["row", "__d", "__h", "__t", "__marks", "marks", "pieces", "terms", "email", "m_ip", "g_ip", "some", "d", "h", "m", "g", "strong"]
+    docs = spark.createDataFrame([(1, "me@x.org", *inner), (2, "none", *inner)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in inner))
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(1, "<email>", *inner), (2, "none", *inner)]

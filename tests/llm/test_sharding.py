@@ -59,6 +59,6 @@ def test_rewrite_keeps_every_row(spark, tmp_path):
     rows, moves = sharding.placed(docs, F.col("doc_id") % 4, 4)
     want = {(r.doc_id, r.shard) for r in rows.collect() if r.shard in changed}
     assert {(r.doc_id, r.shard) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
-    moved = sum(r["__size"] for r in rows.collect() if r.shard != r.doc_id % 4)
+    moved = sum(r["size"] for r in rows.collect() if r.shard != r.doc_id % 4)
     planned = sum(n for i, parts in moves.items() for j, n in parts if j != i)
     assert abs(moved - planned) < 100 * 8
