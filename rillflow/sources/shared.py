@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: Used only where the session names no shared folder (tests, local runs).
+#: Used only where the session names no shared folder and all runs in one process (tests, local runs).
 LOCAL_SHARED = "/tmp/checkpoints/rillflow"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or of its context."""
-    key = "spark.checkpoint.dir"
-    return (spark.conf.get(key, None) or spark.sparkContext.getConf().get(key) or LOCAL_SHARED).rstrip("/")
+    """spark.checkpoint.dir of the session, or of its context; an error where a cluster names none."""
+    key, context = "spark.checkpoint.dir", spark.sparkContext
+    if found := spark.conf.get(key, None) or context.getConf().get(key):
+        return found.rstrip("/")
+    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        return LOCAL_SHARED
+    raise ValueError(f"set {key} to a folder that all executors share")
