@@ -13,8 +13,8 @@ exp(-cf(t) * KL(n(e, t) / cf(t) || p)) (Chernoff), which must not be over CHANCE
 A term's disclosure is its highest. Wherever they stand in any text, terms at or above REMOVE_AT are removed and
 those at or above GENERALISE_AT become the class of the entity that they reveal most, as <class-term>.
 
-Spans and masks are functions of one text and of the terms that disclose, so texts don't cross the network; only
-where more than LISTED terms disclose are those of each text joined to it.
+Spans and masks are functions of one text and of the disclosing terms in it. These are few beside the texts and are
+joined to them: a broadcast while their number is within BROADCAST_HITS, so that texts don't cross the network.
 
 Defined results: a null or empty text has no findings (zero counts, the digest of the empty string,
 empty spans); repeated rows give repeated results; a null doc_id is kept; an empty table gives an
@@ -48,12 +48,12 @@ CONTEXT = 64
 #: The probability that any term at all is taken for a disclosing one by chance.
 CHANCE = 0.05
 GENERALISE_AT, REMOVE_AT = 0.85, 0.95
-#: Disclosing terms that are written into the plan; more are joined.
-LISTED = 2000
+#: Texts with disclosing terms that are broadcast, by keys and terms (some hundred bytes each); more are joined by a shuffle.
+BROADCAST_HITS = 1 << 17
 #: Code points in a piece of a text that is cut.
 PIECE = 1024
 TERM, NO_TERM = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
-FINDING, SPAN, STRONG = "array<struct<s:int,e:int,m:string,l:string,r:string>>", "array<struct<s:int,e:int,k:int,l:string>>", "array<struct<term:string,k:int,kind:int>>"
+FINDING, SPAN = "array<struct<s:int,e:int,m:string,l:string,r:string>>", "array<struct<s:int,e:int,k:int,l:string>>"
 
 
 def _none(kind: str) -> Column:
@@ -161,26 +161,15 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
 def with_spans(docs: DataFrame) -> DataFrame:
     """row (all columns), text, an array of findings per kind, and ``terms``: array<struct<s, e, k, l>> of disclosing
     terms outside of them, k in TERM_KINDS, l what replaces them."""
-    strong = disclosing_terms(docs)
-    listed = strong.limit(LISTED + 1).collect()  # LISTED + 1 at most
-    d = _texts(docs, whole_row(docs))
-    if len(listed) <= LISTED:
-        names = [r["term"] for r in listed]
-        known = F.create_map(*[x for r in listed for x in (F.lit(r["term"]), F.struct(F.lit(r["term"]).alias("term"), F.lit(r["k"]).alias("k"), F.lit(r["kind"]).alias("kind")))]) if names else None
-        is_strong = lambda w: F.lower(w).isin(names) if names else F.lit(False)
-        some = F.exists(F.split("text", NO_TERM), is_strong) if names else F.lit(False)
-        d = d.select("row", "text", some.alias("some"))
-        label = lambda w: F.element_at(known, F.lower(w)) if names else F.lit(None)
-    else:
-        texts = _texts(docs, "doc_id").select(F.xxhash64("doc_id", "text").alias("d"), F.xxhash64("text").alias("h"), F.array_distinct(F.split("text", NO_TERM)).alias("w"))
-        hits = texts.select("d", "h", F.explode("w").alias("w")).select("d", "h", F.lower("w").alias("term")).join(strong.select("term", "k", "kind"), "term")
-        hits = hits.groupBy("d", "h").agg(F.collect_set(F.struct("term", "k", "kind")).alias("strong"))
-        d = d.select("row", "text", F.xxhash64("row.doc_id", "text").alias("d"), F.xxhash64("text").alias("h")).join(hits, ["d", "h"], "left")
-        d = d.select("row", "text", "strong", F.col("strong").isNotNull().alias("some"))
-        is_strong = lambda w: F.exists("strong", lambda x: x["term"] == F.lower(w))
-        label = lambda w: F.get(F.filter("strong", lambda x: x["term"] == F.lower(w)), F.lit(0))
-    kept = [c for c in d.columns if c != "text"]
-    d = with_findings(d, *kept)
+    strong = disclosing_terms(docs).select("term", "k", "kind")
+    texts = _texts(docs, "doc_id").select(F.xxhash64("doc_id", "text").alias("d"), F.xxhash64("text").alias("h"), F.array_distinct(F.split("text", NO_TERM)).alias("w"))
+    hits = texts.select("d", "h", F.explode("w").alias("w")).select("d", "h", F.lower("w").alias("term")).join(sized_broadcast(strong), "term")
+    hits = stored(hits.groupBy("d", "h").agg(F.collect_set(F.struct("term", "k", "kind")).alias("strong")), "pii-hits")
+    d = _texts(docs, whole_row(docs)).select("row", "text", F.xxhash64("row.doc_id", "text").alias("d"), F.xxhash64("text").alias("h"))
+    d = d.join(sized_broadcast(hits, BROADCAST_HITS), ["d", "h"], "left").select("row", "text", "strong", F.col("strong").isNotNull().alias("some"))
+    is_strong = lambda w: F.exists("strong", lambda x: x["term"] == F.lower(w))
+    label = lambda w: F.get(F.filter("strong", lambda x: x["term"] == F.lower(w)), F.lit(0))
+    d = with_findings(d, "row", "strong", "some")
     d = d.select("*", F.when(F.col("some"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).otherwise(_none("array<string>")).alias("m"), F.when(F.col("some"), F.split("text", TERM, -1)).otherwise(_none("array<string>")).alias("g"))
 
     def span(x: Column) -> Column:
@@ -188,7 +177,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
         words = F.when(t["k"] == 0, "").otherwise(F.concat(F.lit("<"), F.get(F.array(*map(F.lit, KINDS)), t["kind"]), F.lit("-term>")))
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), t["k"].cast("int").alias("k"), words.alias("l"))
 
-    terms = F.transform(F.filter(placed(F.col("m"), F.col("g")), lambda x: is_strong(x["m"])), span) if len(listed) else _none(SPAN)
+    terms = F.transform(F.filter(placed(F.col("m"), F.col("g")), lambda x: is_strong(x["m"])), span)
     d = d.select("row", "text", *KINDS, terms.cast(SPAN).alias("terms"))
     return d.select("row", "text", *KINDS, outside("terms", *KINDS).alias("terms"))
 
