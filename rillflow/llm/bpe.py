@@ -28,6 +28,8 @@ from .common import cut, text_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words and chunks kept between batches, twice over: see Encoder.batch.
 CACHED_WORDS = 400_000
+#: The same where other operators' workers need the memory too; what was learnt then goes with the task.
+FEW_WORDS = 120_000
 #: A mark that is a piece of its own after a word.
 MARKS = tuple(".,;:!?)")
 #: Texts in a batch: more share more words.
@@ -142,15 +144,19 @@ class Encoder:
     each chunk in the form that the caller wants; its key is the chunk without the space before it, or, for
     a chunk that no space precedes, with one behind it."""
 
-    def __init__(self, vocabulary: Vocabulary, form: Callable = as_ids) -> None:
-        self.v, self.form = vocabulary, form
+    def __init__(self, vocabulary: Vocabulary, form: Callable = as_ids, cached: int = CACHED_WORDS) -> None:
+        self.v, self.form, self.cached = vocabulary, form, cached
         self.words = regex.compile(PATTERN)
         self.unsafe = regex.compile(r"\p{White_Space} ")
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
+        self.size = {i: len(b) for b, i in vocabulary.usable.items()}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all that was learnt: a worker process outlives its task."""
         self.known: dict[str, tuple[int, ...]] = {}
         self.of: dict[str, object] = {}
         self.apart: dict[int, bool] = {}
-        self.size = {i: len(b) for b, i in vocabulary.usable.items()}
         self.older: dict[str, object] = {}
         self.older_words: dict[str, tuple[int, ...]] = {}
 
@@ -223,9 +229,9 @@ class Encoder:
         """The chunks of each text, all of them known until the next call.
 
         What is full becomes the older generation; what is used again moves back from it."""
-        if len(self.of) > CACHED_WORDS:
+        if len(self.of) > self.cached:
             self.older, self.of = self.of, {}
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > self.cached:
             self.older_words, self.known = self.known, {}
         if len(self.apart) > 500_000:
             self.apart.clear()
@@ -270,7 +276,7 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(vocabulary: str, form: Callable = as_ids, special: bool = True) -> Encoder:
+def encoder(vocabulary: str, form: Callable = as_ids, special: bool = True, cached: int = CACHED_WORDS) -> Encoder:
     """One encoder for each worker process, vocabulary and form; special: whether special tokens in a text are encoded as such."""
     key = f"{special} {form.__name__} {hashlib.sha256(vocabulary.encode()).hexdigest()}"
     if key not in _encoders:
@@ -278,7 +284,7 @@ def encoder(vocabulary: str, form: Callable = as_ids, special: bool = True) -> E
         made = Vocabulary(vocabulary)
         if not special:
             made.special = {}
-        _encoders[key] = Encoder(made, form)
+        _encoders[key] = Encoder(made, form, cached)
     return _encoders[key]
 
 
@@ -288,12 +294,12 @@ def shared_vocabulary(docs: DataFrame, path: str | None):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _over_texts(docs: DataFrame, path: str | None, schema: str, form: Callable, make: Callable):
+def _over_texts(docs: DataFrame, path: str | None, schema: str, form: Callable, make: Callable, cached: int = CACHED_WORDS):
     text_batches(docs.sparkSession)
     vocabulary = shared_vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(vocabulary.value, form)
+        e = encoder(vocabulary.value, form, cached=cached)
         gc.disable()  # nothing here is cyclic, and collections would walk all learnt words again and again
         try:
             for b in cut(batches, ROWS):
@@ -304,6 +310,8 @@ def _over_texts(docs: DataFrame, path: str | None, schema: str, form: Callable,
                 next(known, None)
         finally:
             gc.enable()
+            if cached < CACHED_WORDS:
+                e.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -314,7 +322,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def make(e: Encoder, doc_ids: pa.Array, split: list[list[str]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([doc_ids, pa.array([e.ids(p) for p in split], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return _over_texts(docs, path, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>", as_ids, make)
+    return _over_texts(docs, path, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>", as_ids, make, FEW_WORDS)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

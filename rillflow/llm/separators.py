@@ -44,7 +44,7 @@ def token_files(docs: DataFrame, path: str | None = None, separator: int = SEPAR
     vocabulary = bpe.shared_vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = bpe.encoder(vocabulary.value, as_tokens, special=False)
+        e = bpe.encoder(vocabulary.value, as_tokens, special=False, cached=bpe.CACHED_WORDS // 2)
         file, number, ordinal, rest = TaskContext.get().partitionId(), 0, 0, b""
         end = np.array([separator], "<u2").tobytes()
         kinds = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary()), ("first_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
