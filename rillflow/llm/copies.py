@@ -34,7 +34,7 @@ from .simhash import SEED, Forest, fingerprint, joined_up, one_of_each, roots_of
 WORDS, LEAST = 5, (4, 5)
 BANDS, PER_BAND, RADIUS = 25, 4, 26
 #: Fingerprints and shingles in a part of a shard, and shingles that are compared at once.
-TREE, TERMS, AT_ONCE = 2048, 1 << 21, 1 << 22
+TREE, TERMS, AT_ONCE = 2048, 1 << 21, 1 << 20
 _draw = np.random.default_rng(SEED)
 FACTORS, TERMS_ADDED = _draw.integers(0, 2**64, (2, BANDS * PER_BAND), np.uint64)
 FACTORS |= np.uint64(1)
@@ -181,7 +181,7 @@ def _linked(units: DataFrame, given: DataFrame) -> DataFrame:
 
         for b in batches:
             for unit, side, node, fp, terms in zip(*[c.to_pylist() for c in b.columns]):
-                if held[0] and unit != held[0][-1] and (weight > AT_ONCE // 8 or len(held[0]) > TREE):
+                if held[0] and unit != held[0][-1] and (weight > AT_ONCE // 2 or len(held[0]) > TREE):
                     yield out(len(held[0]))
                 for h, x in zip(held, (unit, side, node, fp, np.frombuffer(terms, np.uint32))):
                     h.append(x)
