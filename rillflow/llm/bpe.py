@@ -28,8 +28,8 @@ from .common import cut, text_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words and chunks kept between batches, twice over: see Encoder.batch.
 CACHED_WORDS = 400_000
-#: The same where other operators' workers need the memory too; what was learnt then goes with the task.
-FEW_WORDS = 120_000
+#: The same, and texts in a batch, where stages with workers of their own come before and after; what was learnt then goes with the task.
+FEW_WORDS, FEW_ROWS = 40_000, 256
 #: A mark that is a piece of its own after a word.
 MARKS = tuple(".,;:!?)")
 #: Texts in a batch: more share more words.
@@ -302,7 +302,7 @@ def _over_texts(docs: DataFrame, path: str | None, schema: str, form: Callable,
         e = encoder(vocabulary.value, form, cached=cached)
         gc.disable()  # nothing here is cyclic, and collections would walk all learnt words again and again
         try:
-            for b in cut(batches, ROWS):
+            for b in cut(batches, FEW_ROWS if cached < CACHED_WORDS else ROWS):
                 texts = b.column(1).to_pylist()
                 known = e.batch(texts)
                 split = [next(known) for _ in texts]
@@ -312,6 +312,7 @@ def _over_texts(docs: DataFrame, path: str | None, schema: str, form: Callable,
             gc.enable()
             if cached < CACHED_WORDS:
                 e.forget()
+                _encoders.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -68,10 +68,11 @@ def text_batches(spark: SparkSession) -> None:
 
 
 def cut(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of so many rows at most."""
+    """The batches in pieces of so many rows at most. At the end Arrow gives back what it holds: a worker outlives its task."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
