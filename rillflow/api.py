@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.workflow import Workflow
+from .sources.shared import stored
 
 SCHEMA = "event_type string, invocation_id string, workflow_id string, parent_id string, ts timestamp, seq bigint, data string"
 ENDS = {"InvocationCompleted": "SUCCEEDED", "InvocationFailed": "FAILED", "InvocationCanceled": "ABORTED"}
@@ -25,8 +26,8 @@ class Invocations:
         return self.spark.read.schema(SCHEMA).parquet(self.path)
 
     def invoke(self, workflow_id: str, workflow: Workflow, invocations: DataFrame) -> DataFrame:
-        """Run the workflow on rows with invocation_id and inputs, and record creation and end of each."""
-        done = workflow.run(invocations)
+        """Run the workflow once on rows with invocation_id and inputs, record creation and end of each, and return what was stored."""
+        done = stored(workflow.run(invocations), "invoked")
         base = done.select(F.lit(workflow_id).alias("workflow_id"), F.lit(None).cast("string").alias("parent_id"), F.current_timestamp().alias("ts"), F.col("invocation_id").cast("string").alias("invocation_id"), "status", F.to_json(F.struct("output", "error")).alias("data"))
         kind = F.when(F.col("status") == "SUCCEEDED", "InvocationCompleted").otherwise("InvocationFailed")
         both = base.select(F.explode(F.array(F.struct(F.lit("InvocationCreated").alias("event_type"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("d")), F.struct(kind.alias("event_type"), F.lit(1).cast("long").alias("seq"), F.col("data").alias("d")))).alias("e"), "*")
@@ -34,8 +35,9 @@ class Invocations:
         return done
 
     def cancel(self, invocation_ids: DataFrame) -> None:
-        """invocation_ids: a column invocation_id; empty ids are refused."""
-        now = invocation_ids.filter("invocation_id != ''").select(F.lit("InvocationCanceled").alias("event_type"), "invocation_id", F.lit(None).cast("string").alias("workflow_id"), F.lit(None).cast("string").alias("parent_id"), F.current_timestamp().alias("ts"), F.lit(2).cast("long").alias("seq"), F.lit('{"error":"workflow invocation was canceled"}').alias("data"))
+        """invocation_ids: a column invocation_id; the job fails at an empty one, and nothing is recorded."""
+        valid = F.when(F.coalesce(F.col("invocation_id"), F.lit("")) != "", True).otherwise(F.raise_error(F.lit("no invocation id")).cast("boolean"))
+        now = invocation_ids.filter(valid).select(F.lit("InvocationCanceled").alias("event_type"), "invocation_id", F.lit(None).cast("string").alias("workflow_id"), F.lit(None).cast("string").alias("parent_id"), F.current_timestamp().alias("ts"), F.lit(2).cast("long").alias("seq"), F.lit('{"error":"workflow invocation was canceled"}').alias("data"))
         self.append(now)
 
     def list(self, *workflows: str) -> DataFrame:

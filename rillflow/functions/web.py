@@ -122,9 +122,23 @@ def query_flatten(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", q.alias("q")).filter("q != ''").select("page_id", as_text(first_values(F.col("q"))).alias("firsts"))
 
 
-@query(URL + ", p AS (SELECT page_id, unnest(string_split(query, '&')) AS kv FROM q WHERE query <> '') SELECT page_id, string_agg(DISTINCT kv, '&' ORDER BY kv) AS canonical FROM p GROUP BY page_id")
+def formatted(values: Column) -> Column:
+    """A map of values as a query: a pair for each key, encoded, in order of keys; null without a map."""
+    pairs = F.transform(F.array_sort(F.map_entries(values)), lambda p: F.concat_ws("=", F.url_encode(p["key"]), F.url_encode(F.coalesce(p["value"], F.lit("")))))
+    return F.array_join(pairs, "&")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 > 0 THEN 'id=' || page_id || '&size=' || length(html) || '&title=a+%26+b%3D' || page_id % 3 END AS query FROM pages")
 def query_format(spark: SparkSession, d: str) -> DataFrame:
-    """The query with its pairs encoded and sorted."""
+    """Values of a page as a query: one pair for each key, in order of keys."""
+    i = F.col("page_id")
+    values = F.create_map(F.lit("title"), F.concat(F.lit("a & b="), (i % 3).cast("string")), F.lit("size"), F.length("html").cast("string"), F.lit("id"), i.cast("string"))
+    return table(spark, d, "pages").select("page_id", F.when(i % 4 > 0, formatted(values)).alias("query"))
+
+
+@query(URL + ", p AS (SELECT page_id, unnest(string_split(query, '&')) AS kv FROM q WHERE query <> '') SELECT page_id, string_agg(DISTINCT kv, '&' ORDER BY kv) AS canonical FROM p GROUP BY page_id")
+def query_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """The query with its pairs encoded and sorted, equal ones once."""
     q = F.regexp_extract("url", r"\?([^#]*)", 1)
     encode = lambda p: F.concat(F.url_encode(F.try_url_decode(F.split_part(p, F.lit("="), F.lit(1)))), F.when(F.contains(p, F.lit("=")), F.concat(F.lit("="), F.url_encode(F.try_url_decode(F.regexp_replace(p, "^[^=]*=", ""))))).otherwise(F.lit("")))
     return table(spark, d, "pages").select("page_id", q.alias("q")).filter("q != ''").select("page_id", F.array_join(F.array_sort(F.array_distinct(F.transform(F.split("q", "&"), encode))), "&").alias("canonical"))

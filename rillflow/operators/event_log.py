@@ -160,8 +160,7 @@ def events_per_key_cap(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH" + EV + " SELECT user_id, event_id, event_type, aggregate_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM ev")
 def merged_event_history(spark: SparkSession, d: str) -> DataFrame:
     """An invocation's own events and those of its tasks, in one order."""
-    ev = events(spark, d).select("user_id", "ts", "event_id", "event_type", "aggregate_type")
-    both = ev.filter(F.col("aggregate_type") == "invocation").unionByName(ev.filter(F.col("aggregate_type") == "taskrun"))
+    both = events(spark, d).filter(F.col("aggregate_type").isin("invocation", "taskrun"))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return both.select("user_id", "event_id", "event_type", "aggregate_type", F.row_number().over(w).cast("long").alias("position"))
 

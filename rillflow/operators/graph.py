@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from ..registry import query
 from ..sources.log import CHAIN, DAG, chain, dag
-from ..sources.shared import shared_dir
+from ..sources.shared import new_folder, stored
 
 KEY = ["g", "task_id"]
 
@@ -57,20 +58,20 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Peels one wave of all graphs at once, so the rounds are as many as the longest chain of tasks, not
     as the graphs. Tasks on or behind a cycle have no wave."""
-    nodes.sparkSession.sparkContext.setCheckpointDir(shared_dir(nodes.sparkSession))
-    left, edges, found, wave = nodes.select("g", "task_id").distinct(), edges_within(edges, nodes), [], 1
+    spark, at = nodes.sparkSession, new_folder(nodes.sparkSession, "waves")
+    edges = stored(edges_within(edges, nodes), "waves-edges")
+    left, wave = nodes.select("g", "task_id").distinct(), 1
+    keys = left.schema.fields
     while True:
-        ready = left.join(edges.select("g", "task_id"), KEY, "left_anti").checkpoint()
-        if ready.isEmpty():
+        waits = edges.join(left.withColumnRenamed("task_id", "dep_id"), ["g", "dep_id"], "left_semi").select("g", "task_id").distinct().withColumn("waits", F.lit(True))
+        # a round is written once; its tasks that wait are what the next one reads
+        left.join(waits, KEY, "left").select(*KEY, F.coalesce("waits", F.lit(False)).alias("waits")).write.partitionBy("waits").parquet(f"{at}/wave={wave}")
+        now = spark.read.schema(StructType([*keys, StructField("waits", BooleanType())])).parquet(f"{at}/wave={wave}")
+        ready = now.filter("NOT waits").first() is not None
+        left, wave = now.filter("waits").drop("waits"), wave + 1
+        if not ready:
             break
-        found.append(ready.withColumn("wave", F.lit(wave)))
-        left = left.join(ready, KEY, "left_anti").checkpoint()
-        edges = edges.join(ready.withColumnRenamed("task_id", "dep_id"), ["g", "dep_id"], "left_anti").checkpoint()
-        wave += 1
-    out = nodes.select("g", "task_id", F.lit(0).alias("wave")).limit(0)
-    for f in found:
-        out = out.unionByName(f)
-    return out
+    return spark.read.schema(StructType([*keys, StructField("waits", BooleanType()), StructField("wave", IntegerType())])).parquet(at).filter("NOT waits").select("g", "task_id", "wave")
 
 
 @query("WITH RECURSIVE" + CHAIN + ", w AS (SELECT invocation_id AS g, task_id, 1 AS wave FROM chain WHERE task_id = 0 UNION ALL SELECT w.g, c.task_id, w.wave + 1 FROM w JOIN chain c ON c.invocation_id = w.g AND c.task_id = w.task_id + 1) SELECT g, task_id, max(wave) AS wave FROM w GROUP BY g, task_id")

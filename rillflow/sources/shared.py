@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder and all runs in one process (tests, local runs).
 LOCAL_SHARED = "/tmp/checkpoints/rillflow"
@@ -16,3 +18,14 @@ def shared_dir(spark: SparkSession) -> str:
     if context.master.startswith("local") and not context.master.startswith("local-cluster"):
         return LOCAL_SHARED
     raise ValueError(f"set {key} to a folder that all executors share")
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df, computed once, written to a new table in the shared folder and read back."""
+    path = new_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rillflow.api import Invocations
 from rillflow.functions import control
+from rillflow.operators import folds
 from rillflow.plans.workflow import Task, Workflow
 from rillflow.sources import specs
 
@@ -76,8 +77,23 @@ def test_specs(spark, tmp_path):
 def test_invocations_api(spark, inputs, tmp_path):
     api = Invocations(spark, str(tmp_path / "events"))
     w = Workflow({"a": Task(lambda s: (s.param(), F.when(s.param() == "bar", F.lit("no"))))}, "a")
-    api.invoke("wf", w, inputs)
+    done = api.invoke("wf", w, inputs)
+    assert {r.status for r in done.collect()} == {"SUCCEEDED", "FAILED"}
     assert {(r.invocation_id, r.status) for r in api.list("wf").collect()} == {("1", "SUCCEEDED"), ("2", "FAILED")}
-    api.cancel(spark.createDataFrame([("2",), ("",)], "invocation_id string"))
+    with pytest.raises(Exception, match="no invocation id"):
+        api.cancel(spark.createDataFrame([("",)], "invocation_id string"))
+    api.cancel(spark.createDataFrame([("2",)], "invocation_id string"))
     assert api.get("2").first().status == "ABORTED" and api.list("other").count() == 0
     assert [r.event_type for r in api.history("2").collect()] == ["InvocationCreated", "InvocationFailed", "InvocationCanceled"]
+
+
+def test_folds_of_all_event_types(spark):
+    rows = [("a", "InvocationCreated", 1), ("a", "InvocationTaskAdded", 2), ("a", "InvocationFailed", 3), ("b", "InvocationCreated", 4), ("b", "InvocationCompleted", 5), ("b", "InvocationCreated", 6), ("b", "InvocationCanceled", 7)]
+    runs = [("a/x", "TaskStarted", 1), ("a/x", "TaskSucceeded", 2), ("a/x", "TaskStarted", 3), ("a/y", "TaskStarted", 4), ("a/y", "TaskSkipped", 5), ("a/z", "TaskFailed", 6)]
+    columns = "user_id string, event_type string, event_id long, ts long, aggregate_type string, aggregate_id string, value double, task_id string"
+    ev = spark.createDataFrame([(i, t, n, n, "invocation", i, float(n), "t") for i, t, n in rows] + [(i[:1], t, n, n, "taskrun", i, float(n), None) for i, t, n in runs], columns)
+    assert sorted(map(tuple, folds.invocation_state(ev).collect())) == [("a", "FAILED", None, 3.0, 1, 3), ("b", "ABORTED", None, 7.0, 0, 2)]
+    assert sorted(map(tuple, folds.task_state(ev).collect())) == [("a/x", "IN_PROGRESS", None, None, 2), ("a/y", "SKIPPED", None, None, 3), ("a/z", "FAILED", None, 6.0, 1)]
+    odd = ev.withColumn("event_type", F.lit("Odd")).unionAll(ev)
+    with pytest.raises(Exception, match="unsupported event"):
+        folds.task_state(odd).collect()
