@@ -8,8 +8,9 @@ step t handles sample t of all frames of a batch.
 
 Defined results: null and empty texts give 64 zero bytes; payloads are padded to a positive multiple of
 PAD; repeated rows repeat; an empty table gives an empty result; extra columns are ignored. A stream of
-another make that uses more than one channel, other than 8 bits, a higher order or Rice partitions is
-refused with an error, as is a damaged one.
+another make that uses more than one channel, other than 8 bits, a higher order or Rice partitions, or that has no
+seek table, is refused, as is a damaged one: decode() raises, pcm_blocks() gives a row with the error. A null
+stream has no rows.
 """
 
 from __future__ import annotations
@@ -344,20 +345,45 @@ def encoded(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {_id_type(docs)}, flac binary")
 
 
+#: What a damaged stream may raise on its way through the decoder.
+DAMAGED = (ValueError, IndexError, OverflowError, struct.error)
+
+
+def each(streams: list[bytes]) -> list[tuple[tuple[bytes, list[tuple[int, int, int]]] | None, str | None]]:
+    """What decode() gives for each stream, or the error; all at once, and one by one only if some are damaged."""
+    try:
+        return [(x, None) for x in decode(streams)]
+    except DAMAGED:
+        out = []
+        for s in streams:
+            try:
+                out.append((decode([s])[0], None))
+            except DAMAGED as e:
+                out.append((None, str(e) or type(e).__name__))
+        return out
+
+
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """doc_id, block, first_sample, samples, byte_offset, pcm: the decoded blocks of doc_id, flac.
+    """doc_id, block, first_sample, samples, byte_offset, pcm, error: the decoded blocks of doc_id, flac.
 
-    first_sample and byte_offset are the seek point of the block's frame in the stream."""
+    first_sample and byte_offset are the seek point of the block's frame in the stream. A stream that can't be
+    read gives one row with nothing but the error; no other stream is lost with it."""
     text_batches(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, ROWS):
-            rows = [(d, j, s, n, o, payload[s : s + n]) for d, (payload, at) in zip(b.column(0).to_pylist(), decode(b.column(1).to_pylist())) for j, (s, o, n) in enumerate(at)]
-            columns = list(zip(*rows)) or [[]] * 6
-            kinds = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "block", "first_sample", "samples", "byte_offset", "pcm"])
-
-    return media.filter(F.col("flac").isNotNull()).select("doc_id", "flac").mapInArrow(run, f"doc_id {_id_type(media)}, block int, first_sample long, samples int, byte_offset long, pcm binary")
+            rows = []
+            for d, (found, error) in zip(b.column(0).to_pylist(), each(b.column(1).to_pylist())):
+                if found is None:
+                    rows.append((d, None, None, None, None, None, error))
+                    continue
+                payload, at = found
+                rows += [(d, j, s, n, o, payload[s : s + n], None) for j, (s, o, n) in enumerate(at)]
+            columns = list(zip(*rows)) or [[]] * 7
+            kinds = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "block", "first_sample", "samples", "byte_offset", "pcm", "error"])
+
+    return media.filter(F.col("flac").isNotNull()).select("doc_id", "flac").mapInArrow(run, f"doc_id {_id_type(media)}, block int, first_sample long, samples int, byte_offset long, pcm binary, error string")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -104,3 +104,16 @@ def test_documents():
     streams = flac.encode(payloads)
     assert [p for p, _ in flac.decode(streams)] == payloads
     assert sum(map(len, streams)) < sum(map(len, payloads))
+
+
+def test_a_damaged_stream_gives_an_error_and_loses_no_other(spark):
+    good = flac.encode([flac.payload_of("some text " * 200), flac.payload_of("more " * 900)])
+    flipped = bytearray(good[0])
+    flipped[-30] ^= 4
+    streams = [good[0], bytes(flipped), good[1], b"RIFF and so on", b"", good[0][:90], None]
+    media = spark.createDataFrame(list(enumerate(streams)), "doc_id long, flac binary").repartition(1)
+    rows = flac.pcm_blocks(media).collect()
+    assert {r.doc_id for r in rows if r.error} == {1, 3, 4, 5} and len([r for r in rows if r.error]) == 4
+    for i, text in ((0, "some text " * 200), (2, "more " * 900)):
+        pcm = b"".join(r.pcm for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.block))
+        assert pcm == flac.payload_of(text)
