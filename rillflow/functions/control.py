@@ -117,10 +117,20 @@ def cf_switch(spark: SparkSession, d: str) -> DataFrame:
     return invocations(spark, d).select("invocation_id", switch(p, [("1-URGENT", F.lit("never")), ("2-HIGH", F.lit("today")), ("1-URGENT", F.lit("now"))], F.lit("later")).alias("output"), switch(p, [("3-MEDIUM", F.lit("m"))]).alias("no_default"))
 
 
-@query("SELECT l AS items, array_to_string(list_transform(l, lambda x: x * 10), ',') AS tens FROM (SELECT '1,2,3,4,5' AS l0, [1, 2, 3, 4, 5] AS l) t".replace("SELECT l AS items, ", "SELECT l0 AS items, "))
+def foreach_after(items: Column, start: Column, do: Callable[[Column, Column], Column]) -> Column:
+    """do(previous, item) of every item, one after the other; the outputs in order."""
+    return F.slice(F.aggregate(items, F.array(start), lambda done, x: F.concat(done, F.array(do(F.element_at(done, -1), x)))), 2, F.greatest(F.size(items), F.lit(1)))
+
+
+@query(INV + """, i AS (SELECT invocation_id, CASE WHEN invocation_id % 6 = 0 THEN []::BIGINT[] ELSE range(1, invocation_id % 6 + 1) END AS l FROM inv)
+SELECT invocation_id, array_to_string(list_transform(l, lambda x: x * 10), ',') AS tens, array_to_string(list_transform(l, lambda x: x * (x + 1) // 2), ',') AS sums, 0 AS uncollected FROM i""")
 def cf_foreach(spark: SparkSession, d: str) -> DataFrame:
-    items = spark.createDataFrame([("1,2,3,4,5", [1, 2, 3, 4, 5])], "items string, l array<int>")
-    return items.select("items", F.array_join(foreach(F.col("l"), lambda x: x * 10).cast("array<string>"), ",").alias("tens"))
+    """Each item by itself, one after the other (running sums), and without collecting."""
+    n = F.col("invocation_id") % 6
+    items = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+    text = lambda l: F.array_join(l.cast("array<string>"), ",")
+    sums = foreach_after(items, F.lit(0).cast("long"), lambda before, x: before + x)
+    return invocations(spark, d).select("invocation_id", text(foreach(items, lambda x: x * 10)).alias("tens"), text(sums).alias("sums"), F.size(foreach(items, lambda x: x, collect=False)).alias("uncollected"))
 
 
 @query(C + "SELECT invocation_id, string_agg((length(output) * 10)::VARCHAR, ',' ORDER BY task_id) AS outputs FROM chain GROUP BY invocation_id")
@@ -156,13 +166,13 @@ def cf_fail(spark: SparkSession, d: str) -> DataFrame:
     return invocations(spark, d).select("invocation_id", fail({}).alias("no_input"), fail({"default": s}).alias("with_default"), fail({"other": s}).alias("without_default"))
 
 
-#: Durations and their milliseconds.
-DURATIONS = [("1h10m", 4200000.0), ("2m300ms", 120300.0), ("1000ms", 1000.0), ("1000", 1000.0), ("1.5s", 1500.0), ("soon", None), ("", None)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {'NULL' if v is None else v}::DOUBLE)" for t, v in DURATIONS) + ") t(text, ms)")
+@query(INV + """SELECT invocation_id, [invocation_id % 24 || 'h' || invocation_id % 60 || 'm', invocation_id % 9 || 'm300ms', invocation_id % 5000 || 'ms', '' || invocation_id % 5000, invocation_id % 60 || '.5s', 'soon', ''][invocation_id % 7 + 1] AS text,
+  [invocation_id % 24 * 3600000 + invocation_id % 60 * 60000, invocation_id % 9 * 60000 + 300, invocation_id % 5000, invocation_id % 5000, invocation_id % 60 * 1000 + 500, NULL, NULL][invocation_id % 7 + 1]::DOUBLE AS ms FROM inv""")
 def cf_sleep_duration(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t, _ in DURATIONS], "text string").select("text", duration_ms(F.col("text")).alias("ms"))
+    i = F.col("invocation_id")
+    forms = [F.format_string("%dh%dm", i % 24, i % 60), F.format_string("%dm300ms", i % 9), F.format_string("%dms", i % 5000), (i % 5000).cast("string"), F.format_string("%d.5s", i % 60), F.lit("soon"), F.lit("")]
+    text = F.element_at(F.array(*forms), (i % 7 + 1).cast("int"))
+    return invocations(spark, d).select("invocation_id", text.alias("text"), duration_ms(text).alias("ms"))
 
 
 @query(INV + "SELECT invocation_id, round(price * 2, 4) AS doubled, upper(status) || '!' AS shouted, length(priority) < 6 AS short FROM inv")
@@ -171,16 +181,82 @@ def cf_javascript(spark: SparkSession, d: str) -> DataFrame:
     return invocations(spark, d).select("invocation_id", F.round(F.col("price") * 2, 4).alias("doubled"), F.concat(F.upper("status"), F.lit("!")).alias("shouted"), (F.length("priority") < 6).alias("short"))
 
 
-@query("SELECT event_id, CAST(trunc(value) AS BIGINT) AS as_int, CAST(event_id AS DOUBLE) AS as_float, NULL::BIGINT AS from_text FROM events")
+#: The kinds that count as numbers, and those whose value is itself dataflow.
+NUMBERS = ("float64", "float32", "int32", "int64", "uint32", "uint64")
+FLOWS = ("task", "workflow", "flow")
+
+
+def as_long(kind: Column, text: Column) -> Column:
+    """A number truncated toward zero; null for any other kind, even for text that looks like a number."""
+    return F.when(kind.isin(*NUMBERS), text.try_cast("double").cast("long"))
+
+
+def as_double(kind: Column, text: Column) -> Column:
+    return F.when(kind.isin(*NUMBERS), text.try_cast("double"))
+
+
+KINDS = "WITH k AS (SELECT event_id, ['float64', 'int64', 'string', 'bool', 'task', 'workflow', 'nil'][event_id % 7 + 1] AS kind, ['' || value, '' || event_id, '' || event_id, 'true', '{}', '{}', NULL][event_id % 7 + 1] AS text FROM events)"
+
+
+def kinds(spark: SparkSession, d: str) -> DataFrame:
+    """event_id, kind, text: values of several kinds."""
+    e, v = F.col("event_id").cast("string"), F.col("value").cast("string")
+    at = lambda *c: F.element_at(F.array(*c), (F.col("event_id") % 7 + 1).cast("int"))
+    kind = at(*map(F.lit, ["float64", "int64", "string", "bool", "task", "workflow", "nil"]))
+    return table(spark, d, "events").select("event_id", kind.alias("kind"), at(v, e, e, F.lit("true"), F.lit("{}"), F.lit("{}"), F.lit(None)).alias("text"))
+
+
+@query(KINDS + " SELECT event_id, kind, CASE WHEN kind IN ('float64', 'int64') THEN CAST(trunc(try_cast(text AS DOUBLE)) AS BIGINT) END AS as_int, CASE WHEN kind IN ('float64', 'int64') THEN try_cast(text AS DOUBLE) END AS as_float, CASE WHEN kind = 'string' THEN NULL::BIGINT END AS from_text FROM k")
 def numeric_unwrap(spark: SparkSession, d: str) -> DataFrame:
     """Doubles truncate toward zero, integers widen, text is refused."""
-    return table(spark, d, "events").select("event_id", F.col("value").cast("long").alias("as_int"), F.col("event_id").cast("double").alias("as_float"), F.lit(None).cast("long").alias("from_text"))
+    k, t = F.col("kind"), F.col("text")
+    return kinds(spark, d).select("event_id", "kind", as_long(k, t).alias("as_int"), as_double(k, t).alias("as_float"), F.when(k == "string", as_long(k, t)).alias("from_text"))
+
+
+def input_error(key: str, kind: Column, *allowed: str) -> Column:
+    """What is wrong with an input of a kind (null: it isn't there); null if nothing is."""
+    return F.when(kind.isNull(), f"input '{key}' is not set").when(~kind.isin(*allowed), F.concat(F.lit(f"input '{key}' is a "), kind, F.lit(f", not one of {', '.join(allowed)}")))
+
+
+@query(KINDS + """, g AS (SELECT event_id, CASE WHEN event_id % 11 > 0 THEN kind END AS kind FROM k)
+SELECT event_id, CASE WHEN kind IS NULL THEN 'input ''do'' is not set' WHEN kind NOT IN ('task', 'workflow') THEN 'input ''do'' is a ' || kind || ', not one of task, workflow' END AS do_error, CASE WHEN kind IS NULL THEN 'input ''times'' is not set' WHEN kind NOT IN ('int64', 'float64') THEN 'input ''times'' is a ' || kind || ', not one of float64, int64' END AS times_error FROM g""")
+def input_check(spark: SparkSession, d: str) -> DataFrame:
+    """Required inputs and their kinds: an error tells what is wrong."""
+    kind = F.when(F.col("event_id") % 11 > 0, F.col("kind"))
+    return kinds(spark, d).select("event_id", input_error("do", kind, "task", "workflow").alias("do_error"), input_error("times", kind, "float64", "int64").alias("times_error"))
+
+
+@query(KINDS + " SELECT event_id, kind = 'task' OR kind = 'workflow' AS control_flow FROM k")
+def control_flow_test(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a value is dataflow that is still to be run."""
+    return kinds(spark, d).select("event_id", F.col("kind").isin(*FLOWS).alias("control_flow"))
+
 
+def resolved_inputs(df: DataFrame, inputs: dict[str, tuple[int, Callable[[dict[str, Column]], Column]]]) -> DataFrame:
+    """df with a column for each input {name: (priority, of)}: by falling priority, then name; each sees those before it."""
+    for name in sorted(inputs, key=lambda n: (-inputs[n][0], n)):
+        df = df.withColumn(name, inputs[name][1]({n: F.col(n) for n in inputs if n in df.columns}))
+    return df
 
-@query("SELECT i AS attempt, CAST(100 * pow(2, i) AS BIGINT) AS wait_ms FROM range(12) t(i)")
+
+@query(INV + "SELECT invocation_id, price * 2 AS item, 'x' || invocation_id AS label, 'x' || invocation_id || ':' || status AS text, false AS early FROM inv")
+def input_order(spark: SparkSession, d: str) -> DataFrame:
+    """Inputs of one task: those of lower priority see those of higher ones, never the other way."""
+    inputs = {
+        "text": (0, lambda seen: F.concat(seen["label"], F.lit(":"), F.col("status"))),
+        "label": (5, lambda seen: F.concat(F.lit("x"), F.col("invocation_id").cast("string"))),
+        "item": (1000, lambda seen: F.col("price") * 2),
+        "early": (1000, lambda seen: F.lit("label" in seen or "text" in seen)),
+    }
+    return resolved_inputs(invocations(spark, d).select("invocation_id", "price", "status"), inputs).select("invocation_id", *inputs)
+
+
+@query("SELECT event_id, CAST(event_id % 12 AS INTEGER) AS attempt, CAST(100 * pow(2, event_id % 12) AS BIGINT) AS wait_ms, CAST(100 * (pow(2, event_id % 12 + 1) - 1) AS BIGINT) AS waited_ms FROM events")
 def backoff_schedule(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve attempts, 2^i times 100 ms."""
-    return spark.range(12).select(F.col("id").alias("attempt"), (100 * F.pow(F.lit(2), "id")).cast("long").alias("wait_ms"))
+    """Of twelve attempts the one that each event is: the wait after it is 2^i times 100 ms, and all waits so far."""
+    i = (F.col("event_id") % 12).cast("int")
+    all_ = F.aggregate(F.sequence(F.lit(0), i), F.lit(0).cast("long"), lambda acc, n: acc + F.lit(100) * F.pow(F.lit(2), n).cast("long"))
+    return table(spark, d, "events").select("event_id", i.alias("attempt"), (100 * F.pow(F.lit(2), i)).cast("long").alias("wait_ms"), all_.alias("waited_ms"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, length(text) - 3) || '...' ELSE text END AS shown FROM documents")
@@ -254,3 +330,65 @@ def struct_to_map(spark: SparkSession, d: str) -> DataFrame:
     s = F.struct(F.floor("price").cast("string").alias("price"), "status")
     m = F.from_json(F.to_json(s), "map<string,string>")
     return invocations(spark, d).select("invocation_id", F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";").alias("entries"))
+
+
+# Values as scripts see them.
+
+
+def script_number(x: Column) -> Column:
+    """A double as scripts write it: whole numbers without a point, exponents from 1e21 on and below 1e-6."""
+    s = x.cast("double").cast("string")
+    sign, exponent = F.when(s.startswith("-"), "-").otherwise(""), F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int")
+    head = F.regexp_extract(s, r"^-?([0-9])\.", 1)
+    tail = F.regexp_replace(F.regexp_extract(s, r"\.([0-9]+)", 1), "0+$", "")
+    digits = F.concat(head, tail)
+    large = F.when(F.length(tail) <= exponent, F.rpad(digits, exponent + 1, "0")).otherwise(F.concat(F.left(digits, exponent + 1), F.lit("."), F.substring(digits, exponent + 2, F.length(digits))))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    power = F.concat(head, F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.when(exponent > 0, "e+").otherwise("e"), exponent.cast("string"))
+    spread = F.when((exponent >= 0) & (exponent < 21), large).when((exponent < 0) & (exponent >= -6), small).otherwise(power)
+    return F.when(exponent.isNull(), F.regexp_replace(F.regexp_replace(s, r"\.0$", ""), "^-0$", "0")).otherwise(F.concat(sign, spread))
+
+
+def script_text(x: Column, kind: str) -> Column:
+    """A value as text; what isn't there is 'undefined'."""
+    made = {"number": script_number(x), "bool": x.cast("string"), "string": x}[kind]
+    return F.coalesce(made, F.lit("undefined"))
+
+
+def int32(x: Column) -> Column:
+    """A whole number wrapped to 32 bits with sign."""
+    return F.pmod(x.cast("long") + F.lit(2**31), F.lit(2**32)) - F.lit(2**31)
+
+
+def utf16_length(text: Column) -> Column:
+    """Characters beyond the basic plane count twice."""
+    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
+def loosely_equal(number: Column, text: Column) -> Column:
+    """number == text: the text counts as the number it spells, blank text as 0, other text as none."""
+    spelled = F.when(F.trim(text) == "", 0.0).otherwise(F.trim(text).try_cast("double"))
+    return F.coalesce(number.cast("double") == spelled, F.lit(False))
+
+
+@query(INV + "SELECT invocation_id, regexp_replace(CAST(price * 1000 AS VARCHAR), '\\.0$', '') AS number, CASE WHEN parent_id IS NULL THEN 'undefined' ELSE CAST(parent_id AS VARCHAR) END AS missing, CAST(price > 200000 AS VARCHAR) AS flag, 'n' || regexp_replace(CAST(price AS VARCHAR), '\\.0$', '') AS joined FROM (SELECT * REPLACE (round(price, 0) AS price) FROM inv)")
+def expr_string_of(spark: SparkSession, d: str) -> DataFrame:
+    """String(x), and text + number."""
+    p = F.round("price", 0)
+    return invocations(spark, d).select("invocation_id", script_text(p * 1000, "number").alias("number"), script_text(F.col("parent_id"), "number").alias("missing"), script_text(p > 200000, "bool").alias("flag"), F.concat(F.lit("n"), script_number(p)).alias("joined"))
+
+
+@query(INV + "SELECT invocation_id, xor((invocation_id * 1000003 + 2147483648) % 4294967296 - 2147483648, 5::BIGINT) AS xored, invocation_id % 10 = 7 OR invocation_id % 10 = 0 AS equal FROM inv")
+def expr_coercion(spark: SparkSession, d: str) -> DataFrame:
+    """Bits are of 32-bit numbers, and == takes text for the number it spells."""
+    i = F.col("invocation_id")
+    text = F.when(i % 10 == 7, F.concat(F.lit(" "), i.cast("string"), F.lit(" "))).when(i % 10 == 0, " ").otherwise("no number")
+    number = F.when(i % 10 == 0, 0).otherwise(i)
+    return invocations(spark, d).select("invocation_id", int32(i * 1000003).bitwiseXOR(F.lit(5).cast("long")).alias("xored"), loosely_equal(number, text).alias("equal"))
+
+
+@query("SELECT doc_id, (length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))::INTEGER AS units FROM (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN chr(128512) ELSE '' END AS t FROM documents)")
+def expr_length(spark: SparkSession, d: str) -> DataFrame:
+    """The length of texts as scripts count it, some with an emoji more."""
+    t = F.concat(F.col("text"), F.when(F.col("doc_id") % 3 == 0, "\U0001f600").otherwise(""))
+    return table(spark, d, "documents").select("doc_id", utf16_length(t).alias("units"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
 from ..registry import query
 from ..sources.log import CHAIN, DAG, chain, dag
@@ -50,7 +53,7 @@ def graph_roots(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH " + DAG + " SELECT workflow_id, task_id FROM dag GROUP BY workflow_id, task_id HAVING count(dep_id) = 0")
 def start_tasks(spark: SparkSession, d: str) -> DataFrame:
     """Tasks that require nothing."""
-    return dag(spark).groupBy("workflow_id", "task_id").agg(F.count("dep_id").alias("n")).filter("n = 0").drop("n")
+    return dag(spark, d).groupBy("workflow_id", "task_id").agg(F.count("dep_id").alias("n")).filter("n = 0").drop("n")
 
 
 def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -80,10 +83,20 @@ def task_waves(spark: SparkSession, d: str) -> DataFrame:
     return waves(*chain_graph(spark, d))
 
 
-@query("WITH RECURSIVE " + DAG + ", w AS (SELECT workflow_id, task_id, 1 AS wave FROM dag WHERE dep_id IS NULL UNION SELECT d.workflow_id, d.task_id, w.wave + 1 FROM w JOIN dag d ON d.workflow_id = w.workflow_id AND d.dep_id = w.task_id) SELECT workflow_id, task_id, max(wave)::INTEGER AS wave FROM w WHERE workflow_id = 'diamond' GROUP BY workflow_id, task_id")
+#: Each task with all that it waits for, over edges whose ends are both declared; and the tasks on cycles.
+REACH = "WITH RECURSIVE " + DAG + """, inner_edges AS (SELECT d.* FROM dag d JOIN t ON d.workflow_id = t.workflow_id AND d.dep_id = t.task_id),
+reach AS (SELECT workflow_id, task_id, dep_id FROM inner_edges UNION SELECT r.workflow_id, r.task_id, i.dep_id FROM reach r JOIN inner_edges i ON i.workflow_id = r.workflow_id AND i.task_id = r.dep_id),
+cyclic AS (SELECT DISTINCT workflow_id, task_id FROM reach WHERE task_id = dep_id)"""
+
+
+@query(REACH + """, stuck AS (SELECT workflow_id, task_id FROM cyclic UNION SELECT r.workflow_id, r.task_id FROM reach r JOIN cyclic c ON c.workflow_id = r.workflow_id AND c.task_id = r.dep_id),
+free AS (SELECT t.* FROM t ANTI JOIN stuck s ON t.workflow_id = s.workflow_id AND t.task_id = s.task_id),
+w AS (SELECT workflow_id, task_id, 1 AS wave FROM free f WHERE NOT EXISTS (SELECT 1 FROM inner_edges i WHERE i.workflow_id = f.workflow_id AND i.task_id = f.task_id)
+  UNION SELECT w.workflow_id, i.task_id, w.wave + 1 FROM w JOIN inner_edges i ON i.workflow_id = w.workflow_id AND i.dep_id = w.task_id JOIN free f ON f.workflow_id = i.workflow_id AND f.task_id = i.task_id)
+SELECT workflow_id, task_id, max(wave)::INTEGER AS wave FROM w GROUP BY workflow_id, task_id""")
 def dag_waves(spark: SparkSession, d: str) -> DataFrame:
-    """Waves of the diamond, where a task waits for the later of two."""
-    g = dag(spark).filter("workflow_id = 'diamond'").withColumnRenamed("workflow_id", "g")
+    """Waves of graphs where a task waits for the later of two; those on or behind a cycle have none."""
+    g = dag(spark, d).withColumnRenamed("workflow_id", "g")
     return waves(g.select("g", "task_id"), g.filter("dep_id IS NOT NULL")).withColumnRenamed("g", "workflow_id")
 
 
@@ -101,14 +114,46 @@ def horizon(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return run.unionByName(failed.select("g", F.lit(None).cast("long").alias("task_id"), F.lit("abort").alias("action")))
 
 
-@query(ROOTS + " SELECT g, task_id, 'run' AS action FROM roots WHERE g NOT IN (SELECT g FROM failed) UNION ALL SELECT g, NULL, 'abort' FROM failed UNION ALL SELECT g, task_id, 'prepare' FROM open o WHERE g NOT IN (SELECT g FROM failed) AND NOT EXISTS (SELECT 1 FROM roots r WHERE r.g = o.g AND r.task_id = o.task_id)")
-def schedule_prewarm_all(spark: SparkSession, d: str) -> DataFrame:
+#: What a cold start takes, in milliseconds, unless told.
+COLD_START_MS = 1000
+
+
+def prewarm_all(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The horizon, and every other open task prepared."""
-    nodes, edges = chain_graph(spark, d)
-    first = horizon(nodes, edges)
-    failed = nodes.filter("status = 'FAILED'").select("g")
-    rest = nodes.filter("status IS NULL").select("g", "task_id").join(failed, "g", "left_anti").join(roots(nodes.filter("status IS NULL"), edges), KEY, "left_anti")
-    return first.unionByName(rest.withColumn("action", F.lit("prepare")))
+    failed, open_nodes = nodes.filter("status = 'FAILED'").select("g"), nodes.filter("status IS NULL")
+    rest = open_nodes.select("g", "task_id").join(failed, "g", "left_anti").join(roots(open_nodes, edges), KEY, "left_anti")
+    return horizon(nodes, edges).unionByName(rest.withColumn("action", F.lit("prepare")))
+
+
+def prewarm_horizon(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The horizon, and the tasks that are next once it is done."""
+    failed, open_nodes = nodes.filter("status = 'FAILED'").select("g"), nodes.filter("status IS NULL")
+    rest = open_nodes.join(failed, "g", "left_anti").join(roots(open_nodes, edges), KEY, "left_anti")
+    return horizon(nodes, edges).unionByName(roots(rest, edges).withColumn("action", F.lit("prepare")))
+
+
+#: Policies by name: (nodes, edges) -> g, task_id, action.
+POLICIES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"horizon": horizon, "prewarm-all": prewarm_all, "prewarm-horizon": prewarm_horizon}
+#: The order in which a graph's actions are taken.
+ACTION_ORDER = ["abort", "prepare", "run"]
+
+
+def schedule(nodes: DataFrame, edges: DataFrame, policy: str = "horizon", at: Column | None = None, cold_start_ms: int = COLD_START_MS) -> DataFrame:
+    """g, task_id, action, expected_at, position: what a policy does with each graph, in the order it is done.
+
+    expected_at is when a prepared task is wanted: now plus a cold start; null for other actions."""
+    actions = POLICIES[policy](nodes, edges)
+    wanted = (F.current_timestamp() if at is None else at) + F.make_dt_interval(secs=F.lit(cold_start_ms / 1000))
+    w = Window.partitionBy("g").orderBy(F.array_position(F.array(*map(F.lit, ACTION_ORDER)), F.col("action")), "task_id")
+    return actions.select("g", "task_id", "action", F.when(F.col("action") == "prepare", wanted).alias("expected_at"), F.row_number().over(w).cast("long").alias("position"))
+
+
+PREPARE_ALL = ROOTS + " SELECT g, task_id, 'run' AS action FROM roots WHERE g NOT IN (SELECT g FROM failed) UNION ALL SELECT g, NULL, 'abort' FROM failed UNION ALL SELECT g, task_id, 'prepare' FROM open o WHERE g NOT IN (SELECT g FROM failed) AND NOT EXISTS (SELECT 1 FROM roots r WHERE r.g = o.g AND r.task_id = o.task_id)"
+
+
+@query(PREPARE_ALL)
+def schedule_prewarm_all(spark: SparkSession, d: str) -> DataFrame:
+    return prewarm_all(*chain_graph(spark, d))
 
 
 @query(
@@ -119,12 +164,14 @@ SELECT g, task_id, 'run' AS action FROM roots WHERE g NOT IN (SELECT g FROM fail
 UNION ALL SELECT g, task_id, 'prepare' FROM next n WHERE g NOT IN (SELECT g FROM failed) AND NOT EXISTS (SELECT 1 FROM ne WHERE ne.g = n.g AND ne.task_id = n.task_id)"""
 )
 def schedule_prewarm_horizon(spark: SparkSession, d: str) -> DataFrame:
-    """The horizon, and the tasks that are next once it is done."""
-    nodes, edges = chain_graph(spark, d)
-    first, open_nodes = horizon(nodes, edges), nodes.filter("status IS NULL")
-    failed = nodes.filter("status = 'FAILED'").select("g")
-    rest = open_nodes.join(failed, "g", "left_anti").join(roots(open_nodes, edges), KEY, "left_anti")
-    return first.unionByName(roots(rest, edges).withColumn("action", F.lit("prepare")))
+    return prewarm_horizon(*chain_graph(spark, d))
+
+
+@query("SELECT *, CASE WHEN action = 'prepare' THEN TIMESTAMP '1998-01-01 00:10:02.5' END AS expected_at, row_number() OVER (PARTITION BY g ORDER BY action, task_id) AS position FROM (" + PREPARE_ALL + ")")
+def schedule_policy(spark: SparkSession, d: str) -> DataFrame:
+    """A policy by name: actions in the order they are taken, tasks prepared for a cold start of 2.5 s from now."""
+    now = F.lit("1998-01-01 00:10:00").cast("timestamp")
+    return schedule(*chain_graph(spark, d), policy="prewarm-all", at=now, cold_start_ms=2500)
 
 
 # Validation.
@@ -133,7 +180,7 @@ def schedule_prewarm_horizon(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH " + DAG + " SELECT workflow_id, task_id, dep_id FROM dag WHERE dep_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dag t WHERE t.workflow_id = dag.workflow_id AND t.task_id = dag.dep_id)")
 def undefined_deps(spark: SparkSession, d: str) -> DataFrame:
     """Dependencies on tasks that are not declared."""
-    g = dag(spark)
+    g = dag(spark, d)
     tasks = g.select("workflow_id", F.col("task_id").alias("dep_id"))
     return g.filter("dep_id IS NOT NULL").join(tasks, ["workflow_id", "dep_id"], "left_anti").select("workflow_id", "task_id", "dep_id")
 
@@ -143,10 +190,10 @@ def on_or_behind_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("g", "task_id").distinct().join(waves(nodes, edges), KEY, "left_anti")
 
 
-@query("WITH RECURSIVE " + DAG + ", reach AS (SELECT workflow_id, task_id, dep_id FROM dag WHERE dep_id IS NOT NULL UNION SELECT r.workflow_id, r.task_id, d.dep_id FROM reach r JOIN dag d ON d.workflow_id = r.workflow_id AND d.task_id = r.dep_id WHERE d.dep_id IS NOT NULL) SELECT DISTINCT workflow_id, task_id FROM reach WHERE task_id = dep_id")
+@query(REACH + " SELECT workflow_id, task_id FROM cyclic")
 def cycle_detection(spark: SparkSession, d: str) -> DataFrame:
     """Tasks on a cycle: those behind one are peeled from the other end."""
-    g = dag(spark).withColumnRenamed("workflow_id", "g")
+    g = dag(spark, d).withColumnRenamed("workflow_id", "g")
     nodes, edges = g.select("g", "task_id").distinct(), g.filter("dep_id IS NOT NULL").select("g", "task_id", "dep_id")
     stuck = on_or_behind_cycles(nodes, edges)
     back = edges_within(edges, stuck).select("g", F.col("dep_id").alias("task_id"), F.col("task_id").alias("dep_id"))
@@ -154,15 +201,13 @@ def cycle_detection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH RECURSIVE "
-    + DAG
-    + """, reach AS (SELECT workflow_id, task_id, dep_id FROM dag WHERE dep_id IS NOT NULL UNION SELECT r.workflow_id, r.task_id, d.dep_id FROM reach r JOIN dag d ON d.workflow_id = r.workflow_id AND d.task_id = r.dep_id WHERE d.dep_id IS NOT NULL),
-w AS (SELECT workflow_id, count(*) FILTER (WHERE dep_id IS NULL) AS starts, max(CASE WHEN dep_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dag t WHERE t.workflow_id = dag.workflow_id AND t.task_id = dag.dep_id) THEN 1 ELSE 0 END) AS gaps FROM dag GROUP BY workflow_id)
-SELECT workflow_id, concat_ws(',', CASE WHEN gaps > 0 THEN 'undefined dependency' END, CASE WHEN EXISTS (SELECT 1 FROM reach r WHERE r.workflow_id = w.workflow_id AND r.task_id = r.dep_id) THEN 'cycle' END, CASE WHEN starts = 0 THEN 'no start task' END) AS errors FROM w"""
+    REACH
+    + """, w AS (SELECT workflow_id, count(*) FILTER (WHERE dep_id IS NULL) AS starts, count(*) FILTER (WHERE dep_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t WHERE t.workflow_id = dag.workflow_id AND t.task_id = dag.dep_id)) AS gaps FROM dag GROUP BY workflow_id)
+SELECT w.workflow_id, concat_ws(',', CASE WHEN gaps > 0 THEN 'undefined dependency' END, CASE WHEN c.workflow_id IS NOT NULL THEN 'cycle' END, CASE WHEN starts = 0 THEN 'no start task' END) AS errors FROM w LEFT JOIN (SELECT DISTINCT workflow_id FROM cyclic) c USING (workflow_id)"""
 )
 def workflow_validation(spark: SparkSession, d: str) -> DataFrame:
     """Every rule that each workflow breaks; none stops the others."""
-    g = dag(spark)
+    g = dag(spark, d)
     base = g.groupBy("workflow_id").agg(F.count_if(F.col("dep_id").isNull()).alias("starts"))
     gaps = undefined_deps(spark, d).select("workflow_id").distinct().withColumn("gap", F.lit(True))
     cycles = cycle_detection(spark, d).select("workflow_id").distinct().withColumn("cycle", F.lit(True))

@@ -103,13 +103,18 @@ inv AS (SELECT o_orderkey AS invocation_id, o_custkey % 50 AS workflow_id, CASE
     CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate + to_minutes(CAST(o_orderkey % 20 AS INTEGER)) END AS deadline,
     CASE o_orderstatus WHEN 'O' THEN 'IN_PROGRESS' WHEN 'F' THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, o_totalprice AS price, o_orderpriority AS priority, o_custkey FROM orders)"""
 
-#: The diamond A, B(A), C(B), D(B), E(C, D), F(E); a cycle G, H, I; a task that requires one that isn't there.
-DAG_EDGES = [("diamond", "A", None), ("diamond", "B", "A"), ("diamond", "C", "B"), ("diamond", "D", "B"), ("diamond", "E", "C"), ("diamond", "E", "D"), ("diamond", "F", "E"), ("cycle", "G", "I"), ("cycle", "H", "G"), ("cycle", "I", "H"), ("cycle", "S", None), ("gap", "X", None), ("gap", "Y", "missing")]
 
+def dag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """workflow_id, task_id, dep_id: each order as a graph of its line numbers, a row for each edge, one without dep_id for a task that requires nothing.
 
-def dag(spark: SparkSession) -> DataFrame:
-    """workflow_id, task_id, dep_id: a row for each edge, and one without dep_id for a task that requires nothing."""
-    return spark.createDataFrame(DAG_EDGES, "workflow_id string, task_id string, dep_id string")
+    A line requires the one of half its number and, from the fourth on, the one before it. Some first lines also
+    require the third (a cycle), some second ones a line that no order has; lines that are missing leave gaps."""
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("workflow_id"), F.col("l_linenumber").cast("long").alias("task_id")).distinct()
+    n, w = F.col("task_id"), F.col("workflow_id")
+    deps = F.array(F.when(n > 1, F.floor(n / 2)), F.when(n > 3, n - 1), F.when((n == 1) & (w % 13 == 0), 3), F.when((n == 2) & (w % 11 == 0), 102))
+    return t.select("workflow_id", "task_id", F.explode_outer(F.array_compact(deps)).alias("dep_id"))
 
 
-DAG = "dag(workflow_id, task_id, dep_id) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in e) + ")" for e in DAG_EDGES) + ")"
+DAG = """t AS (SELECT DISTINCT l_orderkey AS workflow_id, l_linenumber::BIGINT AS task_id FROM lineitem),
+e AS (SELECT *, task_id // 2 AS dep_id FROM t WHERE task_id > 1 UNION ALL SELECT *, task_id - 1 FROM t WHERE task_id > 3 UNION ALL SELECT *, 3 FROM t WHERE task_id = 1 AND workflow_id % 13 = 0 UNION ALL SELECT *, 102 FROM t WHERE task_id = 2 AND workflow_id % 11 = 0),
+dag AS (SELECT t.workflow_id, t.task_id, e.dep_id FROM t LEFT JOIN e ON t.workflow_id = e.workflow_id AND t.task_id = e.task_id)"""
