@@ -143,6 +143,22 @@ def notification_pairs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("user_id", "event_id", "event_type", F.lag("event_type").over(w).alias("before"))
 
 
+STATES = "CASE last_value(CASE WHEN aggregate_type = 'invocation' THEN event_type END IGNORE NULLS) OVER {w} WHEN 'InvocationCompleted' THEN 'SUCCEEDED' WHEN 'InvocationCreated' THEN 'IN_PROGRESS' END"
+PAYLOAD = "last_value(CASE WHEN event_type = 'InvocationCompleted' THEN value END IGNORE NULLS) OVER {w}"
+
+
+@query("WITH" + EV + ", " + "s AS (SELECT user_id, event_id, " + ", ".join(f"{x.format(w=w)} AS {n}" for n, x, w in [("status_after", STATES, "upto"), ("status_before", STATES, "before"), ("output_after", PAYLOAD, "upto"), ("output_before", PAYLOAD, "before")]) + """ FROM ev
+  WINDOW upto AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), before AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT * FROM s""")
+def notification_states(spark: SparkSession, d: str) -> DataFrame:
+    """Each event with its invocation's state before and after it. A key's events are one window, as their order is the point."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    status = F.when(F.col("event_type") == "InvocationCompleted", "SUCCEEDED").when(F.col("aggregate_type") == "invocation", "IN_PROGRESS")
+    output = F.when(F.col("event_type") == "InvocationCompleted", F.col("value"))
+    upto, before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, -1)
+    sets = {"status": status, "output": output}
+    return events(spark, d).select("user_id", "event_id", *[F.last(c, ignorenulls=True).over(f).alias(f"{n}_{when}") for n, c in sets.items() for when, f in (("after", upto), ("before", before))])
+
+
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 10")
 def events_offset(spark: SparkSession, d: str) -> DataFrame:
     """A stream's events from an offset on."""
@@ -176,6 +192,15 @@ def lru_retained(spark: SparkSession, d: str) -> DataFrame:
     return last.filter("NOT done").select("user_id", "done").unionByName(kept.select("user_id", "done"))
 
 
+@query(LAST + ", n AS (SELECT count(*) FILTER (WHERE NOT done) AS active, count(*) AS keys FROM last) SELECT places, active, keys, greatest(least(places - active, keys - active), 0) AS kept, greatest(keys - active - greatest(places - active, 0), 0) AS evicted, CASE WHEN active >= places THEN 'event store overflow' END AS error FROM n, (SELECT unnest([10, 1000000]::BIGINT[]) AS places)")
+def lru_overflow(spark: SparkSession, d: str) -> DataFrame:
+    """What a store of so many keys does with a new one: completed streams make way, active ones never; all active is an error."""
+    last = events(spark, d).groupBy("user_id").agg((F.max_by("event_type", order()) == "InvocationCompleted").alias("done"))
+    n = last.agg(F.count_if(~F.col("done")).alias("active"), F.count(F.lit(1)).alias("keys")).withColumn("places", F.explode(F.array(*[F.lit(p).cast("long") for p in (10, 1_000_000)])))
+    free, completed, none = F.greatest(F.col("places") - F.col("active"), F.lit(0)), F.col("keys") - F.col("active"), F.lit(0)
+    return n.select("places", "active", "keys", F.least(free, completed).alias("kept"), F.greatest(completed - free, none).alias("evicted"), F.when(F.col("active") >= F.col("places"), "event store overflow").alias("error"))
+
+
 @query("SELECT user_id, max(ts) AS last_used FROM events GROUP BY user_id ORDER BY last_used DESC, user_id LIMIT 25")
 def lru_cache_topk(spark: SparkSession, d: str) -> DataFrame:
     """The 25 entities used last."""
@@ -267,3 +292,40 @@ def task_event_parent_join(spark: SparkSession, d: str) -> DataFrame:
     own = ev.filter(F.col("event_type") == "InvocationCreated").groupBy(F.col("user_id").alias("invocation_id")).agg(F.min("ts").alias("created"))
     tasks = ev.filter("parent_id IS NOT NULL").select("event_id", F.col("aggregate_id").alias("task_run_id"), "parent_id")
     return tasks.join(own, F.col("parent_id") == F.col("invocation_id").cast("string")).select("event_id", "task_run_id", "invocation_id", "created")
+
+
+@query("WITH q AS (SELECT user_id % 4 AS queue, props, min(event_id) AS first FROM events GROUP BY ALL) SELECT queue, props AS item, row_number() OVER (PARTITION BY queue ORDER BY first) > 50 AS rejected FROM q")
+def queue_capacity(spark: SparkSession, d: str) -> DataFrame:
+    """Which items a queue of 50 places takes and which it rejects: the first to come stand in it. The places are found before the shuffle."""
+    items = table(spark, d, "events").groupBy((F.col("user_id") % 4).alias("queue"), F.col("props").alias("item")).agg(F.min("event_id").alias("first"))
+    w = Window.partitionBy("queue").orderBy("first")
+    last = items.withColumn("n", F.row_number().over(w)).filter("n <= 50").groupBy("queue").agg(F.max("first").alias("last"))
+    return items.join(last, "queue").select("queue", "item", (F.col("first") > F.col("last")).alias("rejected"))
+
+
+@query("WITH" + EV + " SELECT CASE CAST(props->>'$.k' AS INTEGER) % 3 WHEN 0 THEN 'native' WHEN 1 THEN 'http' ELSE 'workflows' END AS runtime, count(*) FILTER (WHERE event_type = 'TaskStarted') AS resolved, count(*) FILTER (WHERE event_type <> 'TaskStarted') AS executed, count(*) FILTER (WHERE event_type = 'TaskFailed') AS failed FROM ev WHERE aggregate_type = 'taskrun' GROUP BY 1")
+def runtime_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Functions resolved, executed and failed by the runtime that a task's number stands for."""
+    k = F.get_json_object("props", "$.k").cast("int") % 3
+    runtime = F.when(k == 0, "native").when(k == 1, "http").otherwise("workflows")
+    t = F.col("event_type")
+    return events(spark, d).filter("aggregate_type = 'taskrun'").groupBy(runtime.alias("runtime")).agg(F.count_if(t == "TaskStarted").alias("resolved"), F.count_if(t != "TaskStarted").alias("executed"), F.count_if(t == "TaskFailed").alias("failed"))
+
+
+@query("WITH" + EV + ", runs AS (SELECT aggregate_id, parent_id, arg_max(event_type, (ts, event_id)) AS t FROM ev WHERE aggregate_type = 'taskrun' GROUP BY ALL) SELECT count(*) AS cached_runs, count(*) FILTER (WHERE t = 'TaskStarted') AS active_functions, count(DISTINCT parent_id) FILTER (WHERE t = 'TaskStarted') AS subscriptions FROM runs")
+def activity_gauges(spark: SparkSession, d: str) -> DataFrame:
+    """Runs that are cached, those still active, and the invocations that wait for one; counted per invocation, then in all."""
+    runs = events(spark, d).filter("aggregate_type = 'taskrun'").groupBy("parent_id", "aggregate_id").agg(F.max_by("event_type", order()).alias("t"))
+    each = runs.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("t") == "TaskStarted").alias("active"))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cached_runs"), F.coalesce(F.sum("active"), F.lit(0)).alias("active_functions"), F.count_if(F.col("active") > 0).alias("subscriptions"))
+
+
+@query("WITH" + EV + ", e AS (SELECT user_id, event_type, ts, event_id FROM ev WHERE aggregate_type = 'invocation'), c AS (SELECT user_id, ts, event_id, ts + INTERVAL 10 MINUTE AS due FROM e WHERE event_type = 'InvocationCreated'), f AS (SELECT c.event_id, min(e.ts) AS ended FROM c LEFT JOIN e ON e.user_id = c.user_id AND e.event_type = 'InvocationCompleted' AND (e.ts, e.event_id) > (c.ts, c.event_id) GROUP BY c.event_id) SELECT c.event_id, CASE WHEN ended <= due THEN 'SUCCEEDED' ELSE 'ABORTED' END AS result, CASE WHEN ended <= due THEN ended ELSE due END AS returned_at FROM c JOIN f USING (event_id)")
+def await_result(spark: SparkSession, d: str) -> DataFrame:
+    """What a caller who waits for each invocation sees: its end, or at the deadline of ten minutes that it was cancelled."""
+    own = events(spark, d).filter("aggregate_type = 'invocation'")
+    onward = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    ended = F.min(F.when(F.col("event_type") == "InvocationCompleted", F.col("ts"))).over(onward)
+    waits = own.select("event_id", "event_type", "ts", ended.alias("ended")).filter("event_type = 'InvocationCreated'").withColumn("due", F.col("ts") + F.expr("INTERVAL 10 MINUTES"))
+    in_time = F.coalesce(F.col("ended") <= F.col("due"), F.lit(False))
+    return waits.select("event_id", F.when(in_time, "SUCCEEDED").otherwise("ABORTED").alias("result"), F.when(in_time, F.col("ended")).otherwise(F.col("due")).alias("returned_at"))

@@ -86,14 +86,22 @@ def invocation_projection(spark: SparkSession, d: str) -> DataFrame:
     return invocation_state(every_type(spark, d))
 
 
-@query("""WITH we AS (SELECT user_id AS workflow_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'WorkflowCreated' WHEN 'view' THEN 'WorkflowParsed' WHEN 'error' THEN 'WorkflowParsingFailed' ELSE 'WorkflowDeleted' END AS t FROM events WHERE event_type <> 'click')
-SELECT workflow_id, CASE arg_max(t, (ts, event_id)) WHEN 'WorkflowCreated' THEN 'QUEUED' WHEN 'WorkflowParsed' THEN 'READY' WHEN 'WorkflowParsingFailed' THEN 'FAILED' ELSE 'DELETED' END AS status, count(*) AS generation FROM we GROUP BY workflow_id""")
+WORKFLOW_STATES = {"WorkflowCreated": "QUEUED", "WorkflowParsed": "READY", "WorkflowParsingFailed": "FAILED", "WorkflowDeleted": "DELETED"}
+
+
+def workflow_state(ev: DataFrame) -> DataFrame:
+    """workflow_id, status, error, generation of workflow events (workflow_id, event_type, event_id, ts, value); the job fails at any other event."""
+    state = known(ev, *WORKFLOW_STATES).groupBy("workflow_id").agg(F.max_by("event_type", order()).alias("t"), last(F.col("value"), kind("WorkflowParsingFailed")).alias("error"), F.count(F.lit(1)).alias("generation"))
+    return state.select("workflow_id", state_of(WORKFLOW_STATES, "t").alias("status"), "error", "generation")
+
+
+@query("""WITH we AS (SELECT user_id AS workflow_id, event_id, ts, value, CASE event_type WHEN 'signup' THEN 'WorkflowCreated' WHEN 'view' THEN 'WorkflowParsed' WHEN 'error' THEN 'WorkflowParsingFailed' ELSE 'WorkflowDeleted' END AS t FROM events WHERE event_type <> 'click')
+SELECT workflow_id, CASE arg_max(t, (ts, event_id)) WHEN 'WorkflowCreated' THEN 'QUEUED' WHEN 'WorkflowParsed' THEN 'READY' WHEN 'WorkflowParsingFailed' THEN 'FAILED' ELSE 'DELETED' END AS status, arg_max(value, (ts, event_id)) FILTER (WHERE t = 'WorkflowParsingFailed') AS error, count(*) AS generation FROM we GROUP BY workflow_id""")
 def workflow_projection(spark: SparkSession, d: str) -> DataFrame:
-    """Workflow state, with the log's events read as workflow events."""
-    states = {"InvocationCreated": "QUEUED", "TaskStarted": "READY", "TaskFailed": "FAILED", "InvocationCompleted": "DELETED"}
-    to = F.create_map(*[F.lit(x) for kv in states.items() for x in kv])
-    ev = events(spark, d).filter(kind(*states))
-    return ev.groupBy(F.col("user_id").alias("workflow_id")).agg(F.element_at(to, F.max_by("event_type", order())).alias("status"), F.count(F.lit(1)).alias("generation"))
+    """Workflow state, with the log's events read as workflow events (those of successful tasks are none)."""
+    read_as = {"InvocationCreated": "WorkflowCreated", "TaskStarted": "WorkflowParsed", "TaskFailed": "WorkflowParsingFailed", "InvocationCompleted": "WorkflowDeleted"}
+    ev = events(spark, d).filter(kind(*read_as)).withColumn("event_type", state_of(read_as, "event_type"))
+    return workflow_state(ev.withColumnRenamed("user_id", "workflow_id"))
 
 
 @query(EVERY + """, t AS (SELECT *, coalesce(max(CASE WHEN event_type = 'TaskStarted' THEN seq END) OVER (PARTITION BY aggregate_id), 0) AS started FROM every WHERE aggregate_type = 'taskrun')

@@ -32,9 +32,14 @@ def of_workflows(inv: DataFrame, *workflows: int) -> DataFrame:
     return inv.filter(F.col("workflow_id").isin(*workflows)) if workflows else inv
 
 
-@query(INV + "SELECT invocation_id, workflow_id, status FROM inv WHERE workflow_id IN (3, 17, 42) AND parent_id IS NULL")
+def no_parent() -> Column:
+    """No parent, or one without an id."""
+    return F.coalesce(F.col("parent_id").cast("string"), F.lit("")) == ""
+
+
+@query(INV + "SELECT invocation_id, workflow_id, status FROM inv WHERE workflow_id IN (3, 17, 42) AND coalesce(CAST(parent_id AS VARCHAR), '') = ''")
 def list_invocations(spark: SparkSession, d: str) -> DataFrame:
-    return of_workflows(invocations(spark, d), 3, 17, 42).filter("parent_id IS NULL").select("invocation_id", "workflow_id", "status")
+    return of_workflows(invocations(spark, d), 3, 17, 42).filter(no_parent()).select("invocation_id", "workflow_id", "status")
 
 
 @query(INV + "SELECT invocation_id, status FROM inv WHERE status NOT IN ('SUCCEEDED', 'FAILED', 'ABORTED')")
@@ -116,6 +121,37 @@ def invocation_controller_action(spark: SparkSession, d: str) -> DataFrame:
     return invocations(spark, d).join(tasks, "invocation_id", "left").select("invocation_id", action.alias("action"))
 
 
+@query(
+    INV
+    + f""", li AS (SELECT l_orderkey, count(*) AS tasks, count_if(l_linestatus = 'O') AS open_tasks, count_if(l_returnflag = 'R') AS failed, count_if(l_shipdate > TIMESTAMP '{NOW}') AS executing, count_if(l_returnflag = 'N' AND l_linestatus = 'O') AS started FROM lineitem GROUP BY l_orderkey)
+SELECT invocation_id, CASE WHEN workflow_id = 0 THEN 'fail: no workflow' WHEN executing > 0 THEN 'retry: ' || executing || ' open task(s)' WHEN started > 0 THEN 'wait' WHEN status IN ('SUCCEEDED', 'FAILED') THEN 'done' WHEN TIMESTAMP '{NOW}' > coalesce(deadline, created_at + INTERVAL 10 MINUTE) THEN 'fail: deadline'
+  WHEN invocation_id % 6 = 0 THEN 'fail: errors' WHEN coalesce(open_tasks, 0) = 0 THEN CASE WHEN failed > 0 THEN 'fail: not all tasks succeeded' ELSE 'complete' END WHEN failed > 0 THEN 'fail: aborted' ELSE 'schedule' END AS action FROM inv LEFT JOIN li ON invocation_id = l_orderkey"""
+)
+def invocation_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """All guards of an evaluation in their order, over line items as tasks: some still in the executor, some started, open or failed."""
+    item = lambda c: F.count_if(c)
+    status, flag = F.col("l_linestatus"), F.col("l_returnflag")
+    tasks = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("invocation_id")).agg(item(status == "O").alias("open"), item(flag == "R").alias("failed"), item(F.col("l_shipdate") > F.lit(NOW).cast("timestamp")).alias("executing"), item((flag == "N") & (status == "O")).alias("started"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return invocations(spark, d).join(tasks, "invocation_id", "left").select("invocation_id", evaluation(F.col("workflow_id") != 0, n("executing"), n("started"), F.when(F.col("invocation_id") % 6 == 0, 1).otherwise(0), n("open"), n("failed")).alias("action"))
+
+
+def evaluation(has_workflow: Column, executing: Column, started: Column, errors: Column, open_tasks: Column, failed: Column) -> Column:
+    """What is done with an invocation (status, deadline, created_at): the first guard that holds."""
+    return (
+        F.when(~has_workflow, "fail: no workflow")
+        .when(executing > 0, F.concat(F.lit("retry: "), executing.cast("string"), F.lit(" open task(s)")))
+        .when(started > 0, "wait")
+        .when(terminal(), "done")
+        .when(now() > due(), "fail: deadline")
+        .when(errors > 0, "fail: errors")
+        .when((open_tasks == 0) & (failed > 0), "fail: not all tasks succeeded")
+        .when(open_tasks == 0, "complete")
+        .when(failed > 0, "fail: aborted")
+        .otherwise("schedule")
+    )
+
+
 @query(INV + "SELECT invocation_id, created_at, row_number() OVER (ORDER BY created_at, invocation_id) AS position FROM inv ORDER BY created_at, invocation_id LIMIT 100")
 def list_order(spark: SparkSession, d: str) -> DataFrame:
     """The first hundred by time, as a listing shows them (a top-k, so no full sort)."""

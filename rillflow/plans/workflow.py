@@ -16,22 +16,57 @@ SUCCEEDED, FAILED, UNKNOWN = "SUCCEEDED", "FAILED", "UNKNOWN"
 
 
 class Scope:
-    """What a task may refer to: the invocation's inputs and other tasks' outputs."""
+    """What a task may refer to: the invocation's inputs and other tasks' inputs, outputs, headers and states."""
 
-    def __init__(self, inputs: DataFrame) -> None:
-        self._inputs = inputs.columns
+    def __init__(self, inputs: DataFrame | list[str], prefix: str = "", current: str | None = None) -> None:
+        self._inputs = inputs if isinstance(inputs, list) else inputs.columns
+        self._prefix, self._current = prefix, current
+
+    def at(self, task: str) -> Scope:
+        """The scope as a task sees it: what is asked without a name is its own."""
+        return Scope(self._inputs, self._prefix, task)
+
+    def within(self, prefix: str) -> Scope:
+        """The scope of tasks whose columns start with a prefix."""
+        return Scope(self._inputs, prefix)
+
+    def _column(self, task: str | None, what: str) -> Column:
+        return F.col(f"`{self._prefix}{task or self._current}_{what}`")
 
     def param(self, name: str = "default") -> Column:
-        return F.col(name) if name in self._inputs else F.lit(None)
+        return F.col(f"`{name}`") if name in self._inputs else F.lit(None)
+
+    def input(self, task: str | None = None, key: str = "default") -> Column:
+        """A task's input of a name; only of tasks that declare inputs."""
+        return F.try_element_at(self._column(task, "inputs"), F.lit(key))
+
+    def output(self, task: str | None = None) -> Column:
+        return self._column(task, "output")
+
+    def headers(self, task: str | None = None, key: str | None = None) -> Column:
+        """A task's output headers (a map), or one of them; only of tasks that declare headers."""
+        return self._column(task, "headers") if key is None else F.try_element_at(self._column(task, "headers"), F.lit(key))
 
-    def output(self, task: str) -> Column:
-        return F.col(f"`{task}_output`")
+    def status(self, task: str | None = None) -> Column:
+        return self._column(task, "status")
 
-    def status(self, task: str) -> Column:
-        return F.col(f"`{task}_status`")
+    def task(self, task: str | None = None) -> Column:
+        """struct<output, error, status> of a task."""
+        return F.struct(*[self._column(task, what).alias(what) for what in ("output", "error", "status")])
 
 
-Body = Callable[[Scope], "Column | tuple[Column, Column]"]
+@dataclass(frozen=True)
+class Flow:
+    """What a task returns whose output is dataflow: of several workflows a row runs the first whose condition holds.
+
+    Its tasks see the invocation's inputs; their columns are <task>_child<i>.<name>_output and so on. A row for which no
+    condition holds has ``otherwise``."""
+
+    branches: tuple[tuple[Column, Workflow], ...]
+    otherwise: Column | None = None
+
+
+Body = Callable[[Scope], "Column | tuple[Column, Column] | Flow"]
 
 
 @dataclass(frozen=True)
@@ -40,6 +75,10 @@ class Task:
     requires: tuple[str, ...] = ()
     #: Replaces a successful task's output; sees the actual one as its own output.
     override: Callable[[Scope], Column] | None = None
+    #: A map of the output's headers, which sees the (replaced) output.
+    headers: Callable[[Scope], Column] | None = None
+    #: Inputs that other tasks may ask for, as text.
+    inputs: Mapping[str, Callable[[Scope], Column]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -77,25 +116,54 @@ class Workflow:
 
     def run(self, invocations: DataFrame) -> DataFrame:
         """The invocations with <task>_output, <task>_error and <task>_status, and status, output, error."""
-        scope, df = Scope(invocations), invocations
-        failed_before = F.lit(False)
+        scope = Scope(invocations)
+        df = self._tasks(invocations, scope, "", F.lit(True))
+        ok, output, reason = self._result(scope, "")
+        return df.withColumns({"status": F.when(ok, SUCCEEDED).otherwise(FAILED), "output": output, "error": reason})
+
+    def _tasks(self, df: DataFrame, scope: Scope, prefix: str, runs: Column) -> DataFrame:
+        """df with the columns of all tasks, wave by wave, for the rows that run."""
+        ready = F.coalesce(runs, F.lit(False))
         for wave in range(1, max(self.waves.values()) + 1):
             names = [t for t in self.tasks if self.waves[t] == wave]
+            given = {f"{prefix}{t}_inputs": F.create_map(*[x for k, v in self.tasks[t].inputs.items() for x in (F.lit(k), v(scope.at(t)).cast("string"))]) for t in names if self.tasks[t].inputs}
+            df = df.withColumns(given) if given else df
             columns = {}
             for t in names:
-                made = self.tasks[t].run(scope)
+                made = self.tasks[t].run(scope.at(t))
+                if isinstance(made, Flow):
+                    df, made = self._flow(df, scope, f"{prefix}{t}_child", ready, made)
                 out, error = made if isinstance(made, tuple) else (made, F.lit(None).cast("string"))
-                columns[f"{t}_output"] = F.when(~failed_before & error.isNull(), out)
-                columns[f"{t}_error"] = F.when(~failed_before, error)
-                columns[f"{t}_status"] = F.when(failed_before, UNKNOWN).when(error.isNotNull(), FAILED).otherwise(SUCCEEDED)
+                columns[f"{prefix}{t}_output"] = F.when(ready & error.isNull(), out)
+                columns[f"{prefix}{t}_error"] = F.when(ready, error)
+                columns[f"{prefix}{t}_status"] = F.when(~ready, UNKNOWN).when(error.isNotNull(), FAILED).otherwise(SUCCEEDED)
             df = df.withColumns(columns)
-            overrides = {f"{t}_output": F.when(scope.status(t) == SUCCEEDED, o(scope)) for t in names if (o := self.tasks[t].override)}
-            df = df.withColumns(overrides) if overrides else df
-            failed_before = F.exists(F.array(*[scope.status(t) for t in self.tasks if self.waves[t] <= wave]), lambda s: s != SUCCEEDED)
+            for what in ("override", "headers"):
+                named = "output" if what == "override" else what
+                after = {f"{prefix}{t}_{named}": F.when(scope.status(t) == SUCCEEDED, f(scope.at(t))) for t in names if (f := getattr(self.tasks[t], what))}
+                df = df.withColumns(after) if after else df
+            ready = F.forall(F.array(*[scope.status(t) for t in self.tasks if self.waves[t] <= wave]), lambda s: s == SUCCEEDED)
+        return df
+
+    def _result(self, scope: Scope, prefix: str) -> tuple[Column, Column, Column]:
+        """Whether all tasks succeeded; the output then, else the reason."""
         ok = F.forall(F.array(*[scope.status(t) for t in self.tasks]), lambda s: s == SUCCEEDED)
         # of several failures the first task's by name is told
-        reason = F.coalesce(*[F.col(f"`{t}_error`") for t in sorted(self.tasks)])
-        return df.withColumns({"status": F.when(ok, SUCCEEDED).otherwise(FAILED), "output": F.when(ok, scope.output(self.output)), "error": F.when(~ok, reason)})
+        reason = F.coalesce(*[F.col(f"`{prefix}{t}_error`") for t in sorted(self.tasks)])
+        return ok, F.when(ok, scope.output(self.output)), F.when(~ok, reason)
+
+    def _flow(self, df: DataFrame, scope: Scope, name: str, ready: Column, flow: Flow) -> tuple[DataFrame, tuple[Column, Column]]:
+        """df with the tasks of every branch, and (output, error) of the one that each row takes."""
+        df = df.withColumn(f"{name}_taken", F.coalesce(*[F.when(ready & c, F.lit(i)) for i, (c, _) in enumerate(flow.branches)]))
+        taken, outputs, errors = F.col(f"`{name}_taken`"), [], []
+        for i, (_, branch) in enumerate(flow.branches):
+            inner = scope.within(f"{name}{i}.")
+            df = branch._tasks(df, inner, f"{name}{i}.", taken == i)
+            _, output, reason = branch._result(inner, f"{name}{i}.")
+            outputs.append(F.when(taken == i, output))
+            errors.append(F.when(taken == i, reason))
+        rest = F.lit(None) if flow.otherwise is None else flow.otherwise
+        return df, (F.coalesce(*outputs, F.when(taken.isNull(), rest)), F.coalesce(*errors))
 
     def as_task(self, prefix: str, inputs: Callable[[Scope], Mapping[str, Column]], requires: tuple[str, ...] = ()) -> dict[str, Task]:
         """This workflow's tasks inside another one: the output task is called ``prefix``, others prefix.name."""
@@ -108,11 +176,8 @@ class Workflow:
             def param(self, key: str = "default") -> Column:
                 return self.given.get(key, F.lit(None))
 
-            def output(self, task: str) -> Column:
-                return F.col(f"`{name[task]}_output`")
-
-            def status(self, task: str) -> Column:
-                return F.col(f"`{name[task]}_status`")
+            def _column(self, task: str | None, what: str) -> Column:
+                return F.col(f"`{name[task]}_{what}`")
 
         def body(task: Task) -> Body:
             return lambda outer: task.run(Inner(outer))

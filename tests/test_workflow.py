@@ -3,11 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rillflow.api import Invocations
-from rillflow.functions import control
+from rillflow.api import Invocations, Workflows
+from rillflow.functions import control, web
 from rillflow.operators import folds
-from rillflow.plans.workflow import Task, Workflow
+from rillflow.plans.workflow import Flow, Task, Workflow
 from rillflow.sources import specs
+from rillflow.streaming import fold
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +98,82 @@ def test_folds_of_all_event_types(spark):
     odd = ev.withColumn("event_type", F.lit("Odd")).unionAll(ev)
     with pytest.raises(Exception, match="unsupported event"):
         folds.task_state(odd).collect()
+
+
+def test_a_task_may_return_dataflow(inputs):
+    up = Workflow({"u": Task(lambda s: F.upper(s.param())), "out": Task(lambda s: F.concat(s.output("u"), F.lit("!")), ("u",))}, "out")
+    bad = Workflow({"f": Task(lambda s: (F.lit("x"), F.lit("told so")))}, "f")
+    deep = Workflow({"d": Task(lambda s: Flow(((s.param() == "foo", up),)))}, "d")
+    choose = lambda a, b, rest=None: Workflow({"first": Task(lambda s: s.param()), "c": Task(lambda s: Flow(((s.output("first") == "foo", a), (s.output("first") == "bar", b)), rest), ("first",)), "last": Task(lambda s: s.output("c"), ("c",))}, "last")
+    assert outputs(choose(up, bad).run(inputs)) == [("SUCCEEDED", "FOO!", None), ("FAILED", None, "told so")]
+    assert outputs(choose(deep, up).run(inputs)) == [("SUCCEEDED", "FOO!", None), ("SUCCEEDED", "BAR!", None)]
+    one = Workflow({"c": Task(lambda s: Flow(((s.param() == "foo", up),), F.lit("else")))}, "c")
+    assert [o for _, o, _ in outputs(one.run(inputs))] == ["FOO!", "else"]
+
+
+def test_scope_functions_and_headers(inputs):
+    w = Workflow(
+        {
+            "a": Task(lambda s: F.upper(s.input()), inputs={"default": lambda s: s.param(), "n": lambda s: s.param("n") + 1}, headers=lambda s: F.create_map(F.lit("Kind"), F.lower(s.output()))),
+            "b": Task(lambda s: F.concat_ws("|", s.input("a", "n"), s.input("a", "gone"), s.headers("a", "Kind"), s.task("a")["status"], F.size(s.headers("a")).cast("string")), ("a",)),
+        },
+        "b",
+    )
+    assert [o for _, o, _ in outputs(w.run(inputs))] == ["6|foo|SUCCEEDED|1", "51|bar|SUCCEEDED|1"]
+
+
+def test_nested_specs_and_parsers(spark, tmp_path):
+    (tmp_path / "n.yaml").write_text("output: i\ntasks:\n  i:\n    run: if\n    inputs:\n      then: {run: noop, inputs: hi}\n      else: {output: z, tasks: {z: {run: fail}, y: }}\n      plain: {a: 1}\n      broken: {tasks: 3}\n")
+    r = specs.tasks(spark, str(tmp_path)).first()
+    import json
+
+    assert json.loads(r.inputs) == {"then": {"kind": "task", "spec": {"run": "noop", "inputs": {"default": "hi"}, "requires": []}}, "else": {"kind": "workflow", "spec": {"output": "z", "tasks": {"z": {"run": "fail", "inputs": {}, "requires": []}}}}, "plain": {"a": 1}, "broken": {"tasks": 3}}
+    assert specs.parsed("a: 1") == {"a": 1} and specs.parsed('{"a": 1}', "json") == {"a": 1}
+    with pytest.raises(ValueError, match="no parser toml; json"):
+        specs.parsed("a: 1", "toml", "json")
+
+
+def test_workflows_and_dynamic_tasks_api(spark, tmp_path):
+    flows = Workflows()
+    tasks = {"a": Task(lambda s: s.param())}
+    assert Workflows.validate(tasks, "b", "v9") == ["unknown apiVersion v9", "unknown output task 'b'"] and Workflows.validate(tasks, "a") == []
+    assert flows.create("w", tasks, "a") is flows.get("w") and flows.list() == ["w"]
+    flows.delete("w")
+    with pytest.raises(KeyError):
+        flows.get("w")
+    api = Invocations(spark, str(tmp_path / "events"))
+    api.add_task(spark.createDataFrame([("1", "t", "{}"), ("1", "u", "{}"), ("2", "t", "{}")], "invocation_id string, task_id string, spec string"))
+    assert sorted(r.task_id for r in api.tasks("1").collect()) == ["t", "u"]
+    got = api.validate(spark.createDataFrame([("1", "w"), ("", "w"), ("2", None)], "invocation_id string, workflow_id string"))
+    assert [r.error for r in got.collect()] == [None, "no invocation id", "no workflow id"]
+
+
+@pytest.mark.parametrize(
+    ("x", "text"),
+    [(0.0, "0"), (-0.0, "0"), (1.0, "1"), (-2.5, "-2.5"), (12345678.9, "12345678.9"), (1e20, "100000000000000000000"), (1e21, "1e+21"), (-1.5e22, "-1.5e+22"), (0.0001, "0.0001"), (0.000001, "0.000001"), (1e-7, "1e-7"), (float("nan"), "NaN"), (float("inf"), "Infinity")],
+)
+def test_numbers_as_scripts_write_them(spark, x, text):
+    assert spark.range(1).select(control.script_number(F.lit(x))).first()[0] == text
+
+
+#: References and their parts.
+@pytest.mark.parametrize(("ref", "parts"), [("noRuntime", ("", "", "noRuntime")), ("a://b", ("a", "", "b")), ("flow://some-space/foobar", ("flow", "some-space", "foobar")), ("", None), ("://", None), ("://runtimeId", None), ("runtime://", None)])
+def test_references(spark, ref, parts):
+    got = spark.range(1).select(web.fnref(F.lit(ref))).first()[0]
+    assert (got and tuple(got)) == parts
+
+
+def test_unknown_workflow_event_fails(spark):
+    ev = spark.createDataFrame([("w", "Odd", 1, 1, None)], "workflow_id string, event_type string, event_id long, ts long, value double")
+    with pytest.raises(Exception, match="unsupported event: Odd"):
+        folds.workflow_state(ev).collect()
+
+
+def test_stream_resumes_and_replaces_states(spark, tmp_path):
+    schema = "event_id long, ts long, user_id long, event_type string, value double"
+    batches = [[(1, 1, 1, "signup", 0.0), (2, 2, 2, "signup", 0.0)], [(3, 3, 1, "purchase", 5.0)], [(4, 4, 2, "view", 1.0), (5, 5, 1, "signup", 0.0)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        fold.follow(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"))
+    got = sorted(map(tuple, fold.latest(spark, str(tmp_path / "out/state")).collect()))
+    assert got == [(1, "IN_PROGRESS", None), (2, "IN_PROGRESS", None)]
