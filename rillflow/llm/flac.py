@@ -7,10 +7,12 @@ stream's MD5, decodes the Rice residuals and runs the predictors. Both work on m
 step t handles sample t of all frames of a batch.
 
 Defined results: null and empty texts give 64 zero bytes; payloads are padded to a positive multiple of
-PAD; repeated rows repeat; an empty table gives an empty result; extra columns are ignored. A stream of
-another make that uses more than one channel, other than 8 bits, a higher order or Rice partitions, or that has no
-seek table, is refused, as is a damaged one: decode() raises, pcm_blocks() gives a row with the error. A null
-stream has no rows.
+PAD; repeated rows repeat; an empty table gives an empty result; extra columns are ignored. decode()
+reads streams as encode() makes them, many at once. pcm_blocks() reads any stream: those of another make (up to 8
+channels, 4 to 32 bits, all predictors, constant and verbatim subframes, Rice partitions, no seek table) frame after
+frame in Python, which is far slower. Its samples are those of WAV files: channels in turn, 8 bits unsigned, wider
+ones little-endian and signed. Of a damaged stream decode() raises and pcm_blocks() gives a row with the error. A
+null stream has no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -319,6 +322,155 @@ def decode(streams: list[bytes]) -> list[tuple[bytes, list[tuple[int, int, int]]
     return out
 
 
+class Bits:
+    """A stream read from a byte on, field after field."""
+
+    def __init__(self, data: bytes, start: int) -> None:
+        self.data, self.at = data, 8 * start
+
+    def take(self, n: int) -> int:
+        end = self.at + n
+        if end > 8 * len(self.data):
+            raise ValueError("the stream ends early")
+        v = int.from_bytes(self.data[self.at >> 3 : (end + 7) >> 3], "big") >> (-end & 7) & ((1 << n) - 1)
+        self.at = end
+        return v
+
+    def signed(self, n: int) -> int:
+        v = self.take(n)
+        return v - (1 << n) if n and v >> (n - 1) else v
+
+    def zeros(self) -> int:
+        """How many zeros stand before the next one, which is read as well."""
+        n = 0
+        while self.at >> 3 < len(self.data):
+            left = 8 - (self.at & 7)
+            rest = self.data[self.at >> 3] & ((1 << left) - 1)
+            step = left - rest.bit_length()
+            n, self.at = n + step, self.at + step
+            if rest:
+                self.at += 1
+                return n
+        raise ValueError("the stream ends early")
+
+
+def _residuals(bits: Bits, size: int, order: int) -> Iterator[int]:
+    """The residuals of a subframe, partition after partition."""
+    method = bits.take(2)
+    if method > 1:
+        raise ValueError("residuals of a reserved kind")
+    width, parts = 4 + method, 1 << bits.take(4)
+    if size % parts or size // parts < order:
+        raise ValueError("partitions that don't fit")
+    for p in range(parts):
+        n, k = size // parts - (0 if p else order), bits.take(width)
+        if k == (1 << width) - 1:
+            raw = bits.take(5)
+            for _ in range(n):
+                yield bits.signed(raw)
+        else:
+            for _ in range(n):
+                u = bits.zeros() << k | bits.take(k)
+                yield (u >> 1) ^ -(u & 1)
+
+
+def _subframe(bits: Bits, size: int, width: int) -> list[int]:
+    if bits.take(1):
+        raise ValueError("damaged subframe")
+    kind = bits.take(6)
+    wasted = bits.zeros() + 1 if bits.take(1) else 0
+    width -= wasted
+    if width < 1:
+        raise ValueError("damaged subframe")
+    if kind == 0:
+        s = [bits.signed(width)] * size
+    elif kind == 1:
+        s = [bits.signed(width) for _ in range(size)]
+    elif FIXED <= kind <= FIXED + 4 or kind >= LPC:
+        order = kind - LPC + 1 if kind >= LPC else kind - FIXED
+        if order > size:
+            raise ValueError("a predictor longer than its frame")
+        s, shift = [bits.signed(width) for _ in range(order)], 0
+        if kind >= LPC:
+            precision, shift = bits.take(4) + 1, bits.signed(5)
+            if precision == 16 or shift < 0:
+                raise ValueError("a predictor of a reserved kind")
+            c = [bits.signed(precision) for _ in range(order)]
+        else:  # differences, over and over
+            c = [(-1) ** i * comb(order, i + 1) for i in range(order)]
+        for r in _residuals(bits, size, order):
+            s.append(r + (sum(x * y for x, y in zip(c, reversed(s[len(s) - order :]))) >> shift))
+    else:
+        raise ValueError("a subframe of a reserved kind")
+    return [v << wasted for v in s]
+
+
+#: Sample sizes by their code, 0 being that of the stream.
+SAMPLE_BITS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
+
+
+def _frame(data: bytes, start: int, stream_bits: int) -> tuple[list[list[int]], int, int]:
+    """Samples by channel, their bits and the byte after a frame, both checksums verified."""
+    bits = Bits(data, start)
+    if bits.take(15) != SYNC >> 1:
+        raise ValueError("no frame where one should start")
+    bits.take(1)
+    size_code, rate_code, layout, bits_code = bits.take(4), bits.take(4), bits.take(4), bits.take(3)
+    bits.take(1)
+    lead = bits.take(8)
+    bits.take(0 if lead < 0x80 else 8 * (7 - (lead ^ 0xFF).bit_length()))
+    if not size_code or rate_code == 15 or layout > 10 or bits_code == 3:
+        raise ValueError("frame of a reserved kind")
+    size = 192 if size_code == 1 else 576 << (size_code - 2) if size_code < 6 else bits.take(8 * (size_code - 5)) + 1 if size_code < 8 else 256 << (size_code - 8)
+    bits.take({12: 8, 13: 16, 14: 16}.get(rate_code, 0))
+    if crc8(data[start : bits.at >> 3]) != bits.take(8):
+        raise ValueError("damaged frame header")
+    width = SAMPLE_BITS.get(bits_code, stream_bits)
+    # of two channels one may be the difference, which is a bit wider
+    sides = {8: (0, 1), 9: (1, 0), 10: (0, 1)}.get(layout, (0,) * (layout + 1))
+    s = [_subframe(bits, size, width + more) for more in sides]
+    end = (bits.at + 7) >> 3
+    if int(crc16([data[start:end]])[0]) != int.from_bytes(data[end : end + 2], "big") or end + 2 > len(data):
+        raise ValueError("damaged frame")
+    if layout == 8:
+        s[1] = [x - d for x, d in zip(*s)]
+    elif layout == 9:
+        s[0] = [d + x for d, x in zip(*s)]
+    elif layout == 10:
+        whole = [(m << 1 | d & 1, d) for m, d in zip(*s)]
+        s = [[(m + d) >> 1 for m, d in whole], [(m - d) >> 1 for m, d in whole]]
+    return s, width, end + 2
+
+
+def decode_any(stream: bytes) -> tuple[bytes, list[tuple[int, int, int]]]:
+    """decode() of one stream of any make; its seek points are found on the way."""
+    if stream[:4] != MARKER:
+        raise ValueError("not a FLAC stream")
+    at, last, info = 4, False, b""
+    while not last:
+        last, kind, n = bool(stream[at] & 0x80), stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4], "big")
+        info = stream[at + 4 : at + 4 + n] if kind == STREAMINFO else info
+        at += 4 + n
+    if len(info) != 34:
+        raise ValueError("no stream information")
+    packed = int.from_bytes(info[10:18], "big")
+    channels, width, total, md5 = (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & ((1 << 36) - 1), info[18:34]
+    size, parts, points, done = (width + 7) // 8, [], [], 0
+    while done < total or (not total and at < len(stream)):
+        s, bits, end = _frame(stream, at, width)
+        if len(s) != channels or bits != width:
+            raise ValueError("a frame unlike its stream")
+        parts.append(b"".join(v.to_bytes(size, "little", signed=True) for row in zip(*s) for v in row))
+        points.append((done, at, len(s[0])))
+        done, at = done + len(s[0]), end
+    payload = b"".join(parts)
+    if total and done != total:
+        raise ValueError("frames are missing")
+    if any(md5) and hashlib.md5(payload).digest() != md5:
+        raise ValueError("the samples are not those encoded")
+    return payload.translate(SIGNED) if size == 1 else payload, points
+
+
 def payload_of(text: str | None) -> bytes:
     raw = (text or "").encode()
     return raw + bytes(PAD - len(raw) if not raw else -len(raw) % PAD)
@@ -350,14 +502,14 @@ DAMAGED = (ValueError, IndexError, OverflowError, struct.error)
 
 
 def each(streams: list[bytes]) -> list[tuple[tuple[bytes, list[tuple[int, int, int]]] | None, str | None]]:
-    """What decode() gives for each stream, or the error; all at once, and one by one only if some are damaged."""
+    """What decode() gives for each stream, or the error; all at once, and one by one only if some are of another make or damaged."""
     try:
         return [(x, None) for x in decode(streams)]
     except DAMAGED:
         out = []
         for s in streams:
             try:
-                out.append((decode([s])[0], None))
+                out.append((decode_any(s), None))
             except DAMAGED as e:
                 out.append((None, str(e) or type(e).__name__))
         return out
@@ -378,7 +530,8 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
                     rows.append((d, None, None, None, None, None, error))
                     continue
                 payload, at = found
-                rows += [(d, j, s, n, o, payload[s : s + n], None) for j, (s, o, n) in enumerate(at)]
+                width = len(payload) // max(1, sum(n for _, _, n in at))
+                rows += [(d, j, s, n, o, payload[s * width : (s + n) * width], None) for j, (s, o, n) in enumerate(at)]
             columns = list(zip(*rows)) or [[]] * 7
             kinds = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "block", "first_sample", "samples", "byte_offset", "pcm", "error"])
